@@ -20,6 +20,11 @@ def squish(s) -> Column:
     return F.trim(F.regexp_replace(s, WHITESPACE, " "))
 
 
+def strip(s) -> Column:
+    """Drop leading and trailing whitespace only."""
+    return F.btrim(s, F.lit(" \t\n\r\x0b\x0c\u00a0"))
+
+
 def words(s) -> Column:
     """Non-empty whitespace-separated words."""
     return F.filter(F.split(s, WHITESPACE), lambda w: w != "")

@@ -57,18 +57,18 @@ def drop_extended(rows: DataFrame) -> DataFrame:
 def with_group_position(kept: DataFrame, rows: DataFrame) -> DataFrame:
     """Add ``group_pos``, the first position of the anchor in the full input.
 
-    Output order is ``group_pos``, then code, score and ties as in
-    :data:`OUTPUT_ORDER`.
+    :func:`output_order` sorts by it first.
     """
     first = rows.groupBy(F.col("anchor").alias("_anchor")).agg(F.min("pos").alias("group_pos"))
     return kept.join(first, kept["anchor"].eqNullSafe(first["_anchor"]), "left").drop("_anchor")
 
 
 def output_order():
+    """Ascending sort keys of matched rows."""
     return [
         F.col("group_pos"),
-        F.col("has_code_or_cc").desc(),
-        F.col("j_score").desc(),
-        F.col("n_candidates").asc(),
+        -F.col("has_code_or_cc"),
+        -F.col("j_score"),
+        F.col("n_candidates"),
         F.col("pos"),
     ]

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import blank_to_null, let, squish, words
+from ..functions.expr import let, strip, words
 from ..functions.names import (
     canonical_form, genus_species, genus_species_pairs, has_subspecies_marker,
     infraspecific_epithet, model_genus_species, plain_name, strict_id, strict_parts,
@@ -16,17 +16,17 @@ NAMES = "array<string>"
 
 def candidate_list(text) -> Column:
     """Candidates of a ``;`` list or a bracketed list of quoted names."""
-    s = squish(text)
+    s = strip(text)
     bracketed = s.startswith("[") & s.endswith("]")
     parsed = F.from_json(F.translate(s, "'", '"'), F.lit(NAMES))
     listed = F.when(bracketed, F.coalesce(parsed, F.split(s, ";"))).otherwise(F.split(s, ";"))
-    trimmed = F.filter(F.transform(listed, squish), lambda c: c != "")
+    trimmed = F.filter(F.transform(listed, strip), lambda c: c != "")
     return F.coalesce(trimmed, F.array().cast(NAMES))
 
 
 def candidates_or_match(text, mat) -> Column:
     """Candidates, or the match itself when there are none."""
-    single = F.when(squish(mat) != "", F.array(squish(mat)))
+    single = F.when(strip(mat) != "", F.array(strip(mat)))
     return let(
         candidate_list(text),
         lambda c: F.when(F.size(c) > 0, c).otherwise(F.coalesce(single, F.array().cast(NAMES))),
@@ -203,8 +203,8 @@ def first_verdict(name, model, level, is_elevated, confidence, n_top_ties, top_s
             F.lit(why).alias("why"),
         )
 
-    missing = (F.coalesce(squish(name), F.lit("")) == "") | (
-        F.coalesce(squish(model), F.lit("")) == ""
+    missing = (F.coalesce(strip(name), F.lit("")) == "") | (
+        F.coalesce(strip(model), F.lit("")) == ""
     )
     soft = soft_yellow(n_top_ties, top_score, F.lit(None).cast("double"))
     return (
@@ -237,7 +237,7 @@ def final_verdict(verdict, n_top_ties, top_score, n_100s, median_score) -> Colum
 
 
 def model_core(model) -> Column:
-    return F.regexp_replace(F.coalesce(squish(model), F.lit("")), r"(?i)\.mat$", "")
+    return F.regexp_replace(F.coalesce(strip(model), F.lit("")), r"(?i)\.mat$", "")
 
 
 def reclassify(scored: DataFrame) -> DataFrame:
