@@ -237,7 +237,7 @@ def lookup_keys(records: DataFrame) -> DataFrame:
 def ids_key(ids) -> Column:
     """Key of a set of ids, null for an empty one."""
     kept = F.sort_array(
-        F.array_distinct(F.filter(F.transform(ids, F.trim), lambda i: i != ""))
+        F.array_distinct(F.filter(F.transform(ids, lambda i: F.trim(i)), lambda i: i != ""))
     )
     return F.when(F.size(kept) > 0, F.concat(F.lit("IDS::"), F.array_join(kept, ",")))
 
@@ -250,13 +250,16 @@ def scientific_names(fields: DataFrame) -> DataFrame:
 
 
 def compile_taxonomy(nodes_fields, names_fields, merged_fields, roots=None):
-    """Records, keys and scope of all nodes below ``roots`` from the three dump files."""
+    """Records, keys and scope of all nodes below ``roots`` from the three dump files.
+
+    The tree and the records feed several steps each and are written out once.
+    """
     roots = sorted(set(roots or V.DEFAULT_CLADES))
-    tree = ancestry(parse_nodes(nodes_fields), scientific_names(names_fields))
+    tree = cut_lineage(ancestry(parse_nodes(nodes_fields), scientific_names(names_fields)))
     scope = in_scope(tree, roots)
     capture = scope.select("taxid").unionByName(ancestors_of_roots(tree, roots)).distinct()
-    records = build_records(
-        scope, parse_names(names_fields, capture), parse_merged(merged_fields, scope)
+    records = cut_lineage(
+        build_records(scope, parse_names(names_fields, capture), parse_merged(merged_fields, scope))
     )
     return records, lookup_keys(records), scope
 

@@ -11,6 +11,7 @@ from ..functions.anchors import (
 from ..operators import analytics, dedup, lookup, match, report, rescue, rows, taxonomy
 from ..plans import mapping
 from ..sources.tables import name_text
+from ..session import cut_lineage
 from . import relations as R
 from .relations import derive
 
@@ -317,7 +318,8 @@ def _compiled(spark, folder):
         text = [F.col(c).cast("string") if c else F.lit("") for c in columns]
         table = derive(spark, folder, sql)
         line = F.col("line_no") if "line_no" in table.columns else F.lit(0)
-        return table.select(line.alias("line_no"), F.array(*text).alias("fields"))
+        # stands in for a dump file that was read
+        return cut_lineage(table.select(line.alias("line_no"), F.array(*text).alias("fields")))
 
     return taxonomy.compile_taxonomy(
         fields(R.NODES, "taxid", "parent", "rank"),
