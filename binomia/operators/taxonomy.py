@@ -77,49 +77,52 @@ def ancestry(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     ``names`` supplies ``taxid, scientific_name`` for the path entries. Raises
     ``ValueError`` on a cycle.
     """
-    named = nodes
-    if names is not None:
-        named = nodes.join(names.select("taxid", "scientific_name"), "taxid", "left")
-    else:
+    if names is None:
         named = nodes.withColumn("scientific_name", F.lit(None).cast("string"))
+    else:
+        named = nodes.join(names.select("taxid", "scientific_name"), "taxid", "left")
+    named = cut_lineage(named)
     step = F.struct(
         F.col("taxid").alias("TaxId"),
         F.coalesce("scientific_name", F.lit("")).alias("ScientificName"),
         F.col("rank").alias("Rank"),
     )
-    parents = named.select(F.col("taxid").alias("parent"), step.alias("step"))
-    linked = nodes.where((F.col("parent") != F.col("taxid")) & (F.col("parent") != "")).join(
-        parents, "parent"
-    )
-    start = nodes.select("taxid").join(
-        linked.select("taxid", F.array("step").alias("path"), F.col("parent").alias("next")),
-        "taxid",
-        "left",
-    )
-    paths = cut_lineage(
-        start.withColumn("path", F.coalesce("path", F.array().cast(f"array<{_STEP}>")))
+    parents = named.select(F.col("taxid").alias("next"), F.array(step).alias("path"))
+    climbs = (F.col("parent") != F.col("taxid")) & (F.col("parent") != "")
+    own = named.withColumn("next", F.when(climbs, F.col("parent"))).drop("scientific_name")
+    none = F.array().cast(f"array<{_STEP}>")
+    # a parent that is no node ends the path
+    started = own.join(parents, "next", "left").select(
+        *nodes.columns,
+        F.coalesce("path", none).alias("path"),
+        F.when(F.col("path").isNotNull(), F.col("next")).alias("next"),
     )
-    while not paths.where("next is not null").isEmpty():
-        _refuse_cycles(paths)
+    paths = cut_lineage(started)
+    while _unfinished(paths):
         paths = cut_lineage(_double(paths))
-    return nodes.join(paths.select("taxid", "path"), "taxid")
+    return paths.drop("next")
+
+
+def _unfinished(paths: DataFrame) -> bool:
+    """True while some path goes on; a node that is its own ancestor is an error."""
+    state = paths.where("next is not null").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.array_contains(path_ids(), F.col("taxid"))).alias("cycle")
+    ).first()
+    if state["cycle"]:
+        raise ValueError("the parents of the taxonomy form a cycle")
+    return state["n"] > 0
 
 
 def _double(paths: DataFrame) -> DataFrame:
     onward = paths.select(
         F.col("taxid").alias("next"), F.col("path").alias("more"), F.col("next").alias("after")
     )
+    kept = [c for c in paths.columns if c not in ("path", "next")]
     # finished paths stay out of the join: their null pointers would all meet in one task
     moved = paths.where("next is not null").join(onward, "next").select(
-        "taxid", F.concat("path", "more").alias("path"), F.col("after").alias("next")
+        *kept, F.concat("path", "more").alias("path"), F.col("after").alias("next")
     )
-    return paths.where("next is null").unionByName(moved)
-
-
-def _refuse_cycles(paths: DataFrame) -> None:
-    ids = F.transform("path", lambda s: s["TaxId"])
-    if not paths.where(F.array_contains(ids, F.col("taxid"))).isEmpty():
-        raise ValueError("the parents of the taxonomy form a cycle")
+    return paths.where("next is null").select(*moved.columns).unionByName(moved)
 
 
 def path_ids(path="path") -> Column:
@@ -252,10 +255,10 @@ def scientific_names(fields: DataFrame) -> DataFrame:
 def compile_taxonomy(nodes_fields, names_fields, merged_fields, roots=None):
     """Records, keys and scope of all nodes below ``roots`` from the three dump files.
 
-    The tree and the records feed several steps each and are written out once.
+    The records feed several steps and are written out once.
     """
     roots = sorted(set(roots or V.DEFAULT_CLADES))
-    tree = cut_lineage(ancestry(parse_nodes(nodes_fields), scientific_names(names_fields)))
+    tree = ancestry(parse_nodes(nodes_fields), scientific_names(names_fields))
     scope = in_scope(tree, roots)
     capture = scope.select("taxid").unionByName(ancestors_of_roots(tree, roots)).distinct()
     records = cut_lineage(

@@ -68,9 +68,12 @@ def matched_rows(
     out ``mat_candidates_str``.
     """
     matches = match_names(inputs, models, prefixes)
-    best = (matches.with_candidates() if text else matches.best).drop("anchor", "tie_id")
-    rows = inputs.join(described(inputs, prefixes), "taxon").join(best, "taxon")
-    return with_group_position(most_specific(rows), rows)
+    best = matches.best.drop("anchor")
+    # read by the group positions, the duplicates and the prefixes
+    rows = cut_lineage(inputs.join(described(inputs, prefixes), "taxon").join(best, "taxon"))
+    kept = with_group_position(most_specific(rows), rows)
+    # candidate texts are long: add them to the surviving rows only
+    return (matches.with_candidates(kept) if text else kept).drop("tie_id")
 
 
 def map_names(
