@@ -295,6 +295,7 @@ COMPARED = f"""
         case when name_changed then concat({_TRUNC('taxon', 26)}, chr(10), '→ ', {_TRUNC('other_name', 26)}) else {_TRUNC('taxon', 32)} end as label
         from cmp0 where other_name is not null)""".strip()
 
+_FLAT = "translate(text, concat(chr(10), chr(9), chr(13)), '   ')"
 _SIDES = f"""
     sides as (select pos, {S.tokens("concat(taxon, ' = DSM ', cast(pos % 9 as varchar))")} as own,
         {S.tokens("concat(model, '_DSM_', cast(pos % 7 as varchar))")} as other from taxa join models on pos = model_pos),
@@ -344,6 +345,16 @@ ORACLES = {
     "best_match": with_(*MATCH, body="select taxon, mat, j_score, has_gs, bands, n_candidates from banded"),
     "tie_members": with_(*MATCH, body="select taxon, model_pos, model from tied where d < 1"),
     "match_candidates": with_(*MATCH, body="select taxon, n_candidates, md5(cands) as candidates from banded"),
+    "match_documents": with_(
+        f"dq as (select distinct {_FLAT} as taxon from documents)",
+        f"dt as (select taxon, {S.tokens('taxon')} as toks from dq)",
+        f"ds as (select taxon, {S.plain_of('toks')} as pa, {S.codes_of('toks')} as ca from dt)",
+        f"mt as (select item_id, {S.tokens(_FLAT)} as toks from benchmark)",
+        f"ms as (select item_id, {S.plain_of('toks')} as pb, {S.codes_of('toks')} as cb from mt)",
+        f"pr as (select taxon, {S.distance('pa', 'pb', 'ca', 'cb')} as d from ds, ms)",
+        body="""select md5(taxon) as doc, 1.0::double - min(d) as j_score, count(*) filter (where d - d_min <= 1e-5::double) as n_candidates
+        from (select *, min(d) over (partition by taxon) as d_min from pr) group by taxon""",
+    ),
     "last_abundance": with_(TAXA, LAST, body="select * from last_a"),
     "matched_rows": with_(
         *MATCHED,

@@ -194,6 +194,18 @@ def match_candidates(spark, folder):
     return found.select("taxon", "n_candidates", F.md5("mat_candidates_str").alias("candidates"))
 
 
+@query
+def match_documents(spark, folder):
+    """Wide token sets: whole documents against whole passages."""
+    flat = F.translate("text", "\n\t\r", "   ")
+    docs = documents(spark, folder).select(flat.alias("taxon"))
+    passages = spark.read.parquet(f"{folder}/benchmark.parquet").select(
+        F.col("item_id").alias("model_pos"), flat.alias("model")
+    )
+    best = match.match_names(docs, passages).best
+    return best.select(F.md5("taxon").alias("doc"), "j_score", "n_candidates")
+
+
 @query
 def last_abundance(spark, folder):
     return rows.last_abundance(taxa(spark, folder))

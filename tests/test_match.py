@@ -51,7 +51,7 @@ def random_name(rng, sep, wide):
     return " ".join(parts).replace(" ", sep)
 
 
-@pytest.mark.parametrize("seed, wide", [(1, 0.0), (2, 0.15), (3, 0.5)])
+@pytest.mark.parametrize("seed, wide", [(1, 0.0), (2, 0.15), (3, 0.5), (4, 0.9)])
 def test_matches_equal_comparing_every_pair(spark, seed, wide):
     rng = random.Random(seed)
     names = [random_name(rng, " ", wide) for _ in range(150)] + ["", "zz", "Qq qq", "ATCC 1 DSM 3"]
@@ -78,6 +78,20 @@ def test_common_token_does_not_multiply_rows(spark):
     assert best.where("n_candidates = 300").count() == 300
 
 
+def test_wide_sets_join_on_rare_tokens_only(spark):
+    """All names and entries share eight tokens; pairs form through the rare ones."""
+    common = " ".join(f"hot{i}" for i in range(8))
+    rare = F.concat_ws(" ", *[F.concat(F.lit(f"r{k}x"), F.col("id").cast("string")) for k in range(6)])
+    ids = spark.range(200)
+    names = ids.select(F.concat(F.lit(common + " "), rare).alias("taxon"))
+    models = ids.select(F.col("id").alias("model_pos"), F.concat(rare, F.lit(" " + common)).alias("model"))
+    prepared, catalogue = match.prepare_names(names), match.prepare_catalogue(models)
+    assert prepared.where("wide").count() == 200
+    assert match._wide_pairs(prepared, catalogue, V.COLLECTION_PREFIXES).count() < 200 * 12
+    best = match.match_names(names, models).best
+    assert best.where("j_score = 1.0 and n_candidates = 1").count() == 200
+
+
 def test_bands(spark):
     cases = [(0.9, True), (0.89, True), (0.3, False), (1.0, False), (0.29, True)]
     df = spark.createDataFrame(cases, "j double, g boolean").coalesce(1)
