@@ -289,7 +289,7 @@ _ORD = lambda c: f"nullif(list_position({S.strings(V.FINAL_BANDS)}, {c}), 0)"  #
 _TRUNC = lambda c, n: f"case when length({c}) > {n} then concat({c}[1:{n - 3}], '...') else {c} end"
 COMPARED = f"""
     cmp0 as (select pos, taxa_name as taxon, suggested_gem as other_name, coalesce(final_band, 'green') as own_band,
-        lag(final_band) over (partition by taxon order by pos) as other_band, pos % 2 = 0 as name_changed, pos % 3 = 0 as band_changed from final_t),
+        case when top_score = 100 then 'green' when top_score > 60 then 'yellow' when top_score > 0 then final_band end as other_band, pos % 2 = 0 as name_changed, pos % 3 = 0 as band_changed from final_t),
     cmp as (select *, case when {_ORD('other_band')} is null then 'no MetaPhlAn equivalent'
         when {_ORD('own_band')} > {_ORD('other_band')} then 'improved' when {_ORD('own_band')} < {_ORD('other_band')} then 'degraded' else 'unchanged' end as direction,
         case when name_changed then concat({_TRUNC('taxon', 26)}, chr(10), '→ ', {_TRUNC('other_name', 26)}) else {_TRUNC('taxon', 32)} end as label

@@ -1,6 +1,6 @@
 """The registered queries: every operator on relations derived from the tables."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -610,7 +610,8 @@ def _comparison(spark, folder):
         F.col("taxa_name").alias("taxon"),
         F.col("suggested_gem").alias("other_name"),
         F.coalesce("final_band", F.lit("green")).alias("own_band"),
-        F.lag("final_band").over(Window.partitionBy("taxon").orderBy("pos")).alias("other_band"),
+        F.when(F.col("top_score") == 100, "green").when(F.col("top_score") > 60, "yellow")
+        .when(F.col("top_score") > 0, F.col("final_band")).alias("other_band"),
         (F.col("pos") % 2 == 0).alias("name_changed"),
         (F.col("pos") % 3 == 0).alias("band_changed"),
     )

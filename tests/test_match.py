@@ -24,6 +24,14 @@ def plain_distance(a, b):
     return 1.0 - len(sa & sb) / len(sa | sb) if sa | sb else 1.0
 
 
+def shown(matches):
+    rows = matches.with_candidates().collect()
+    return {
+        r["taxon"]: (r["mat"], r["j_score"], r["has_gs"], r["n_candidates"], r["mat_candidates_str"])
+        for r in rows
+    }
+
+
 def brute_force(names, models):
     """name -> (mat, score, has_gs, n, members) from prepared rows."""
     out = {}
@@ -58,13 +66,14 @@ def test_matches_equal_comparing_every_pair(spark, seed, wide):
     models = [random_name(rng, "_", wide) for _ in range(120)]
     n = spark.createDataFrame([(x,) for x in names], "taxon string")
     m = spark.createDataFrame(list(enumerate(models)), "model_pos long, model string")
-    got = {
-        r["taxon"]: (r["mat"], r["j_score"], r["has_gs"], r["n_candidates"], r["mat_candidates_str"])
-        for r in match.match_names(n, m).with_candidates().collect()
-    }
     prepared = match.prepare_names(n).collect()
     catalogue = match.prepare_catalogue(m).orderBy("model_pos").collect()
-    assert got == brute_force(prepared, catalogue)
+    expected = brute_force(prepared, catalogue)
+    assert shown(match.match_names(n, m)) == expected
+    if wide == 0.0:
+        # the same without broadcasts
+        sides = match.prepare_names(n), match.prepare_catalogue(m)
+        assert shown(match.match_prepared(*sides, wide_sets=False, small=False)) == expected
 
 
 def test_common_token_does_not_multiply_rows(spark):
