@@ -13,7 +13,7 @@ from ..plans import mapping
 from ..sources.tables import name_text
 from ..session import cut_lineage
 from . import relations as R
-from .relations import derive
+from .relations import derive, table
 
 QUERIES = {}
 
@@ -38,7 +38,7 @@ def models(spark, folder) -> DataFrame:
 
 
 def documents(spark, folder) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 # --- names -----------------------------------------------------------------
@@ -328,10 +328,10 @@ def taxonomy_merged(spark, folder):
 def _compiled(spark, folder):
     def fields(sql, *columns):
         text = [F.col(c).cast("string") if c else F.lit("") for c in columns]
-        table = derive(spark, folder, sql)
-        line = F.col("line_no") if "line_no" in table.columns else F.lit(0)
+        rows = derive(spark, folder, sql)
+        line = F.col("line_no") if "line_no" in rows.columns else F.lit(0)
         # stands in for a dump file that was read
-        return cut_lineage(table.select(line.alias("line_no"), F.array(*text).alias("fields")))
+        return cut_lineage(rows.select(line.alias("line_no"), F.array(*text).alias("fields")))
 
     return taxonomy.compile_taxonomy(
         fields(R.NODES, "taxid", "parent", "rank"),
@@ -396,7 +396,7 @@ def record_pools(spark, folder):
 
 def _rescue_rows(spark, folder):
     """Lookup names with candidates made from customers and order states."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = table(spark, folder, "orders")
     cust = F.concat(F.lit("Cust"), F.col("o_custkey").cast("string"))
     items = [
         F.concat(cust, F.lit("_ordo_"), F.col("o_orderkey").cast("string")),
@@ -439,7 +439,7 @@ def rescue_names(spark, folder):
 @query
 def score_summaries(spark, folder):
     """Confidence from arrays of scores gathered per customer."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = table(spark, folder, "orders")
     levels = F.array(*[F.lit(v) for v in (0, 20, 60, 70, 75, 100)])
     score = F.get(levels, (F.col("o_orderkey") % 6).cast("int"))
     grouped = orders.groupBy("o_custkey").agg(F.collect_list(score).alias("scores"))
@@ -456,9 +456,9 @@ def score_summaries(spark, folder):
 
 
 def _scored(spark, folder):
-    table = derive(spark, folder, R.SCORED)
+    scored = derive(spark, folder, R.SCORED)
     pairs = N.genus_species_pairs(F.split("synonyms", r"\|"))
-    return table.withColumn("gs_aliases", pairs).withColumn("ranked_candidates", F.lit("r"))
+    return scored.withColumn("gs_aliases", pairs).withColumn("ranked_candidates", F.lit("r"))
 
 
 @query
