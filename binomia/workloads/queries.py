@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import tokens as T
-from ..functions.anchors import (
-    anchor_word_count, is_descriptive, species_anchor, subspecies_anchor, with_compatibility_form,
-)
+from ..functions.anchors import is_descriptive, species_anchor
 from ..operators import analytics, dedup, lookup, match, report, rescue, rows, taxonomy
 from ..plans import mapping
 from ..sources.tables import name_text
