@@ -4,6 +4,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Temporary folders of sessions on one machine, by application.
+_OWN_FOLDER: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark; on a cluster bring your own."""
@@ -24,12 +27,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a session on one machine gets a temporary folder; a cluster must name one.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = _OWN_FOLDER.get(context.applicationId)
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN_FOLDER[context.applicationId] = tempfile.mkdtemp(prefix="binomia-checkpoint-")
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder the cluster names, so a lost executor costs little."""
     context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="binomia-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
