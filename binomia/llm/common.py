@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,14 @@ from binomia.session import shared_folder
 CACHED_WORDS = 150_000
 #: Byte classes that separate words: the space and the bytes 09 to 0D. bytes.split() splits at the same six.
 SEPARATORS = " \t\n\x0b\x0c\r"
+_SEPARATOR_BYTES = [c.encode() for c in SEPARATORS]
+#: Bytes of a text whose words are hashed at once.
+BLOCK_BYTES = 1 << 20
+_IS_WORD = np.ones(256, np.int8)
+_IS_WORD[[ord(c) for c in SEPARATORS]] = 0
+_BYTE_VALUES = np.random.default_rng(2024).integers(1, 2**64, 256, dtype=np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -62,18 +69,70 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, remembered for a bounded number of words."""
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order.
+
+    A word is a run of bytes other than the six separators. Its hash is a polynomial over random values
+    of its bytes, taken from running sums, so no word becomes a Python object. Long texts are read in
+    blocks that end at separators.
+    """
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > BLOCK_BYTES:
+            cut = max(data.rfind(c, at, at + BLOCK_BYTES) for c in _SEPARATOR_BYTES)
+            if cut < 0:
+                later = [k for c in _SEPARATOR_BYTES if (k := data.find(c, at + BLOCK_BYTES)) >= 0]
+                cut = min(later, default=len(data) - 1)
+            end = cut + 1
+        out.append(_block_hashes(np.frombuffer(data, np.uint8, end - at, at))[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def all_word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """word_hashes of each text; short texts are hashed together."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size + len(texts[end]) <= BLOCK_BYTES:
+            size += len(texts[end]) + 1
+            end += 1
+        if end > at + 1:
+            hashes, starts = _block_hashes(np.frombuffer(b"\n".join(texts[at:end]), np.uint8))
+            ends = np.cumsum([len(t) + 1 for t in texts[at:end]])
+            out += np.split(hashes, np.searchsorted(starts, ends[:-1]))
+        else:
+            end = at + 1
+            out.append(word_hashes(texts[at]))
+        at = end
+    return out
+
+
+def _block_hashes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a block."""
+    inside = np.zeros(len(block) + 2, np.int8)
+    inside[1:-1] = _IS_WORD[block]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(len(block))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[block] * powers[: len(block)], out=total[1:])
+        return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, at least n of them."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                row = np.full(size, base, np.uint64)
+                row[0] = 1
+                _POWERS[k] = np.cumprod(row, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -120,3 +179,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("id", "component")
         if not changed:
             return labels
+
+
+def filter_batches(df: DataFrame, keeps: Callable, start: Callable, rows: int = 256) -> DataFrame:
+    """Rows of df for which keeps(texts, state) says so; all columns stay and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(keeps(part.column("text").to_pylist(), state), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import SEPARATORS, WordHashes, fold, map_batches, needed, shingles
+from binomia.llm.common import SEPARATORS, fold, map_batches, needed, shingles, word_hashes
 
 #: Labelled documents of each label that the weights are fitted on, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 400, 20_000
@@ -66,16 +66,14 @@ class Chain:
 class Reader:
     """What the rules count in a text and the feature vectors of its lines."""
 
-    def __init__(self):
-        self.hashes = WordHashes()
-
     def read(self, text: str) -> tuple[dict, np.ndarray, np.ndarray]:
         """Counts; features of the lines that hold a word; their lengths in characters of words."""
-        lines = [line for line in text.encode().split(b"\n")]
+        whole = text.encode()
+        lines = whole.split(b"\n")
         words = [line.split() for line in lines]
         filled = [k for k, w in enumerate(words) if w]
         sizes = np.array([len(words[k]) for k in filled], np.int64)
-        ids = self.hashes.of([w for k in filled for w in words[k]])
+        ids = word_hashes(whole)
         n = len(ids)
         seen, dup = set(), np.zeros(len(filled), bool)
         for at, k in enumerate(filled):
@@ -124,7 +122,7 @@ class Reader:
         return counts, features, visible.astype(float)
 
 
-def fit_chain(documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Chain:
+def fit_chain(documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Chain:
     """Fit weights and transitions to (features, labels) of documents by full-batch gradient ascent.
 
     The chains are padded to one length; forward and backward passes run over all of them at once.
