@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binomia.llm.common import fold, read_table
+from binomia.llm.decontamination import decontamination
 from binomia.llm.language_id import language_id, train_language
+from binomia.llm.ngram_join import ngram_join
 from binomia.llm.packing import best_fit_packing
 from binomia.llm.pii import personal_data
 from binomia.llm.quality_classifier import quality_scores, train_quality
@@ -15,6 +17,14 @@ from binomia.llm.quality_rules import quality_rules, train_chain
 from binomia.llm.token_counts import token_counts
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(read_table(spark, folder, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +56,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op9_quality_rules, op10_language_id)
+    for f in (op1_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op9_quality_rules, op10_language_id)
 }
 ORACLES: dict[str, str] = {}
