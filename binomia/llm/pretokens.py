@@ -1,22 +1,29 @@
-"""Pre-tokens and pieces of public tokenizer files, without running a tokenizer over whole texts."""
+"""Pre-tokens and pieces of public tokenizer files, without running a tokenizer over whole texts.
+
+A unit is a stretch of text that a tokenizer never joins with its neighbours: what stands between white
+space, or a space and what follows it. Units repeat far more often than texts do, so their pieces are
+worked out once and remembered or joined.
+"""
 
 from __future__ import annotations
 
 import os
-import unicodedata
-from collections.abc import Callable
+import re
+from functools import lru_cache
 
 import regex
 
 #: Patterns of the two tokenizer files (fixed values; \\s is Unicode white space).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Up to here letter classes and lower case are the same in every Unicode version; other texts go to the library.
-LATIN = regex.compile("[^\x00-ɏ]")
+#: Beyond these characters classes, case and composed forms depend on the Unicode version: the library splits such texts.
+_OTHER = re.compile("[^\x00-ɏ]|[\x00\x1c-\x1f\x85\xa0]")
+#: White space next to a space or a line break is grouped across units.
+_GROUPED = re.compile(r"[ \n][ \n]|[\t\r\x0b\x0c]")
 
 
 class Pieces:
-    """Splits texts as a tokenizers file does and encodes single pre-tokens.
+    """Cuts texts into units as a tokenizers file does and encodes single units.
 
     Added tokens are cut out first, as the library does by default. A text with characters beyond
     Latin is split by the library's own normalizer and splitter.
@@ -30,25 +37,31 @@ class Pieces:
         self.library.encode_special_tokens = True
         added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.added = added
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in added) + ")") if added else None
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in added) + ")") if added else None
         self.lower = self.library.normalizer is not None
         self.find = regex.compile(LOWER_WORDS if self.lower else BYTE_LEVEL).findall
 
     def parts(self, text: str) -> list[str]:
-        """Stretches of the text; those that are keys of `added` are added tokens."""
+        """Stretches of the text; every second one is an added token."""
         return self.cut.split(text) if self.cut else [text]
 
-    def split(self, text: str) -> list[str]:
-        """The pre-tokens of one stretch, each so that encoding it alone gives its pieces."""
-        if LATIN.search(text) is None:
-            return self.find(unicodedata.normalize("NFC", text).lower() if self.lower else text)
+    def units(self, text: str) -> list[str]:
+        """The units of one stretch in order; encoding each alone gives the stretch's pieces."""
+        if _OTHER.search(text):
+            if self.lower:
+                text = self.library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         if self.lower:
-            text = self.library.normalizer.normalize_str(text)
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            return text.lower().split()
+        if _GROUPED.search(text):
+            return self.find(text)
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
-    def encode(self, pretokens: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(pretokens, add_special_tokens=False)]
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
 
-def opened(path: str) -> Callable[[], Pieces]:
-    return lambda: Pieces(path)
+@lru_cache(maxsize=4)
+def pieces(path: str) -> Pieces:
+    """One for each file and Python worker."""
+    return Pieces(path)

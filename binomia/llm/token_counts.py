@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binomia.llm.common import map_batches, needed, stash
-from binomia.llm.pretokens import Pieces, opened
+from binomia.llm.pretokens import pieces
 
 #: Documents whose frequencies share one word list.
 CHUNK_ROWS = 1000
@@ -26,7 +26,7 @@ class _Chunks:
     """Frequencies of one task's documents, chunk by chunk."""
 
     def __init__(self, path: str):
-        self.pieces, self.made = Pieces(path), 0
+        self.pieces, self.made = pieces(path), 0
 
     def table(self, batch) -> dict:
         place: dict[str, int] = defaultdict(lambda: len(place))
@@ -38,7 +38,7 @@ class _Chunks:
                 if k % 2:
                     n_added += 1
                 elif part:
-                    found += map(place.__getitem__, self.pieces.split(part))
+                    found += map(place.__getitem__, self.pieces.units(part))
             where, count = np.unique(np.array(found, np.int32), return_counts=True)
             index.append(where)
             freq.append(count.astype(np.int32))
@@ -78,10 +78,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int
     listed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     counted = map_batches(
         listed.select("word").distinct(),
-        lambda batch, pieces: [{"word": batch.column(0), "n": [len(x) for x in pieces.encode(batch.column(0).to_pylist())]}],
+        lambda batch, library: [{"word": batch.column(0), "n": [len(x) for x in library.encode(batch.column(0).to_pylist())]}],
         "word string, n int",
         rows=2048,
-        start=opened(path),
+        start=lambda: pieces(path),
     )
     counts = (
         listed.join(counted, "word")
