@@ -190,6 +190,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample
     return fit_chain(documents)
 
 
+def verdict(reader: Reader, chain: Chain, text: str | None, content_share: float = CONTENT_SHARE) -> dict:
+    """The counts of a text, base_failed, its share of content and whether it is kept."""
+    counts, features, lengths = reader.read(text or "")
+    failed = counts["n_words"] < 10 or 100 * counts["n_repeat_words"] > 20 * counts["n_words"]
+    share = float(lengths @ chain.decode(features) / lengths.sum()) if len(lengths) else 0.0
+    return {**counts, "base_failed": failed, "kept": not failed and share >= content_share, "content_share": share}
+
+
 def quality_rules(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
     """Counts, base_failed, content share and verdict of every row of docs (doc_id, text).
 
@@ -200,17 +208,8 @@ def quality_rules(docs: DataFrame, chain: Chain, content_share: float = CONTENT_
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judged(batch, reader):
-        out = {"doc_id": batch.column("doc_id"), **{n: [] for n in names}, "base_failed": [], "kept": [], "content_share": []}
-        for value in batch.column("text"):
-            counts, features, lengths = reader.read(value.as_py() or "")
-            for n in names:
-                out[n].append(counts[n])
-            failed = counts["n_words"] < 10 or 100 * counts["n_repeat_words"] > 20 * counts["n_words"]
-            share = float(lengths @ chain.decode(features) / lengths.sum()) if len(lengths) else 0.0
-            out["base_failed"].append(failed)
-            out["content_share"].append(share)
-            out["kept"].append(not failed and share >= content_share)
-        return [out]
+        found = [verdict(reader, chain, v.as_py(), content_share) for v in batch.column("text")]
+        yield {"doc_id": batch.column("doc_id"), **{n: [f[n] for f in found] for n in (*names, "base_failed", "kept", "content_share")}}
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, content_share double"
     return map_batches(needed(docs, "doc_id", "text"), judged, schema, start=Reader)
