@@ -17,11 +17,21 @@ import regex
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Beyond these characters classes, case and composed forms depend on the Unicode version: the library splits such texts.
-_OTHER = re.compile("[^\x00-ɏ]|[\x00\x1c-\x1f\x85\xa0]")
+_OTHER = re.compile("[^\x00-ɏ]")
+_ODD = b"\x00\x1c\x1d\x1e\x1f\x85\xa0"
 #: White space next to a space or a line break is grouped across units.
 _GROUPED = re.compile(r"[ \n][ \n]|[\t\r\x0b\x0c]")
 
 
+def plain(text: str) -> bool:
+    """Whether all characters are Latin letters, digits and signs, and no white space is an odd one."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is None and not any(chr(c) in text for c in _ODD)
+    return len(data.translate(None, _ODD)) == len(data)
+
+
 class Pieces:
     """Cuts texts into units as a tokenizers file does and encodes single units.
 
@@ -47,7 +57,7 @@ class Pieces:
 
     def units(self, text: str) -> list[str]:
         """The units of one stretch in order; encoding each alone gives the stretch's pieces."""
-        if _OTHER.search(text):
+        if not plain(text):
             if self.lower:
                 text = self.library.normalizer.normalize_str(text)
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]

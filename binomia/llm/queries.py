@@ -14,6 +14,7 @@ from binomia.llm.packing import best_fit_packing
 from binomia.llm.pii import personal_data
 from binomia.llm.quality_classifier import quality_scores, train_quality
 from binomia.llm.quality_rules import quality_rules, train_chain
+from binomia.llm.substring_dedup import substring_dedup
 from binomia.llm.token_counts import token_counts
 
 
@@ -43,6 +44,10 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup(read_table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return quality_rules(docs, train_chain(docs, read_table(spark, folder, "labels")))
@@ -56,6 +61,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op9_quality_rules, op10_language_id)
+    for f in (op1_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_language_id)
 }
 ORACLES: dict[str, str] = {}
