@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from binomia.llm.common import fold, read_table
 from binomia.llm.decontamination import decontamination
+from binomia.llm.html_text import html_text
 from binomia.llm.language_id import language_id, train_language
 from binomia.llm.ngram_join import ngram_join
 from binomia.llm.packing import best_fit_packing
@@ -22,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(read_table(spark, folder, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text(read_table(spark, folder, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -61,6 +66,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_decontamination, op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_language_id)
+    for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_decontamination, op4_token_counts, op5_best_fit_packing, op6_pii, op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_language_id)
 }
 ORACLES: dict[str, str] = {}
