@@ -111,16 +111,19 @@ def prefixes(held: DataFrame, similarity: float) -> DataFrame:
 
 
 def boundary(lists: DataFrame, similarity: float) -> int:
-    """Largest size of a small set: subsets below and list entries above it cost least together.
+    """Largest size of a small set: what subsets lead to below and list entries above it cost least together.
 
     Sizes are added up in classes of about a twentieth, so few rows reach the driver.
     """
-    per = lists.groupBy("doc_id", "n").agg(F.count("*").alias("k"), F.sum("frequency").alias("entries"))
+    f, k = F.sum("frequency"), F.count("*")
+    # a subset has at most as many holders as the rarer of its shingles
+    subsets = f * (k - 1 + F.min("at")) - F.sum(F.col("frequency") * F.col("at"))
+    per = lists.groupBy("doc_id", "n").agg(subsets.alias("subsets"), f.alias("entries"))
     step = F.floor(F.log(F.col("n")) * 20).alias("step")
-    rows = per.groupBy(step).agg(F.max("n").alias("n"), F.sum(F.expr("k * (k - 1) / 2")).alias("subsets"), F.sum("entries").alias("entries")).orderBy("step").collect()
+    rows = per.groupBy(step).agg(F.max("n").alias("n"), F.sum("subsets").alias("subsets"), F.sum("entries").alias("entries")).orderBy("step").collect()
     best, choice, below, above = None, 0, 0.0, float(sum(r["entries"] for r in rows))
-    for n, subsets, entries in [(0, 0, 0), *((r["n"], r["subsets"], r["entries"]) for r in rows)]:
-        below, above = below + subsets, above - entries
+    for n, met, entries in [(0, 0, 0), *((r["n"], r["subsets"], r["entries"]) for r in rows)]:
+        below, above = below + met, above - entries
         if best is None or below + above < best:
             best, choice = below + above, n
     return choice
@@ -151,6 +154,18 @@ def possible(a: str, b: str, similarity: float) -> Column:
     return _close(n, m, similarity) & (n - F.col(f"{a}.at") >= overlap) & (m - F.col(f"{b}.at") >= overlap)
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, n_low, tokens as in classes, with all shingles of the documents named in ids."""
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+
+    def made(batch):
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
+        yield {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "n_low": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
+
+    return map_batches(needed(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"), made, "doc_id long, n int, n_low int, tokens array<long>")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets link, with both set sizes and the overlap."""
     pairs = stash(pairs.select("a", "b").distinct())
@@ -205,11 +220,13 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     star = star.join(sizes, "head").filter(_close(F.col("n"), F.col("m"), similarity)).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     links = stash(verified(docs, star, words, similarity).select("a", "b"))
     joined = components(links)
-    # keys on which different components still meet
-    part = met.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
-    part = stash(part)
+    # keys on which different components still meet; the sets that meet there are ordered anew by exact
+    # frequencies of all their shingles, so what sets them apart comes first and few pairs are left
+    part = stash(met.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")))
     mixed_keys = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    open_sets = stash(part.join(mixed_keys.hint("shuffle_hash"), "key", "left_semi"))
+    open_ids = stash(part.join(mixed_keys.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "part").distinct())
+    again = stash(prefixes(full_sets(docs, open_ids.select("doc_id"), words), similarity))
+    open_sets = stash(meetings(again, boundary(again, similarity), similarity).join(open_ids, "doc_id"))
     a, b = open_sets.alias("a"), open_sets.alias("b")
     rest = (
         a.join(b, F.col("a.key") == F.col("b.key"))
