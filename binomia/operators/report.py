@@ -149,15 +149,6 @@ def dedup_audit(inputs: DataFrame, kept: DataFrame) -> DataFrame:
     )
 
 
-DISPLAY_LIMIT = 100
-
-
-def shown_candidates(candidates, preferred) -> Column:
-    """Candidates to print; of more than a hundred only the preferred one."""
-    only = F.filter(candidates, lambda c: c.eqNullSafe(preferred))
-    return F.when(F.size(candidates) > DISPLAY_LIMIT, only).otherwise(candidates)
-
-
 def parse_ranked(text) -> Column:
     """Items of a ranked list; an item without score gets ``?``."""
     items = F.filter(F.transform(F.split(text, ";"), strip), lambda i: i != "")
@@ -186,9 +177,7 @@ def detail_records(matched: DataFrame, rescued: DataFrame | None, items: DataFra
         F.max_by(F.struct("status", "confidence_score", "mapped_id"), "pos").alias("_f")
     )
     listed = candidates_or_match(F.col("mat_candidates_str"), F.lit(None).cast("string"))
-    out = matched.withColumn(
-        "candidates", F.when(F.col("n_candidates") <= DISPLAY_LIMIT, listed).otherwise(F.array().cast("array<string>"))
-    )
+    out = matched.withColumn("candidates", listed)
     out = out.join(found, out["taxa_name"] == found["_q"], "left")
     hidden = F.col("_f.mapped_id").isin("no_suggestion", "")
     out = out.withColumns(
@@ -207,15 +196,10 @@ def detail_records(matched: DataFrame, rescued: DataFrame | None, items: DataFra
     ranked = parse_ranked(F.col("ranked_candidates"))
     gem = F.when(~F.col("suggested_gem").isin("no_suggestion", ""), F.col("suggested_gem"))
     last = rescued.withColumn("_gem", F.coalesce(gem, F.lit(""))).withColumn("_ranked", ranked)
-    only = F.filter("_ranked", lambda c: (F.col("_gem") != "") & (c["model"] == F.col("_gem")))
-    last = last.withColumn(
-        "_shown",
-        F.when(F.size("_ranked") <= DISPLAY_LIMIT, F.col("_ranked")).otherwise(F.slice(only, 1, 1)),
-    )
     detail = F.struct(
         *fields,
         F.size("_ranked").alias("n_candidates"),
-        F.col("_shown").alias("candidates"),
+        F.col("_ranked").alias("candidates"),
         F.col("_gem").alias("preferred"),
     )
     last = last.groupBy(F.col("taxon").alias("_t")).agg(F.max_by(detail, "pos").alias("rescue"))

@@ -1,20 +1,14 @@
 """HTML pages of a run, written as ordered text parts by Spark."""
 
-import logging
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
-# Colours of the states.
 STATE_COLORS = {
-    "unambiguous": "#2e7d32",
-    "high_similarity": "#558b2f",
-    "near_tier": "#f57f17",
-    "low_similarity": "#c62828",
-    "no_correspondence": "#424242",
+    "unambiguous": "#1b6ca8",
+    "high_similarity": "#3f9ac0",
+    "near_tier": "#b98b12",
+    "low_similarity": "#a8461b",
+    "no_correspondence": "#5c5c66",
 }
 
 
@@ -120,42 +114,3 @@ def html_lines(job_id: str, totals, breakdown, states, audit, details, order) ->
 def write_html(lines: DataFrame, path) -> None:
     keys = [c for c in lines.columns if c != "text"]
     lines.orderBy(*keys).select("text").write.mode("overwrite").text(str(path))
-
-
-def write_pdf(html_text: str, path) -> Path | None:
-    """PDF of a page where the renderer is installed; None with a warning otherwise."""
-    try:
-        from weasyprint import HTML
-    except ImportError as problem:
-        log.warning("no PDF: %s", problem)
-        return None
-    HTML(string=html_text).write_pdf(str(path))
-    return Path(path)
-
-
-def write_flow_plot(links: DataFrame, path) -> Path | None:
-    """Flow diagram as PNG where plotly is installed; None with a warning otherwise."""
-    try:
-        import plotly.graph_objects as go
-    except ImportError as problem:
-        log.warning("no plot: %s", problem)
-        return None
-    rows = links.collect()  # at most one row per pair of bands
-    nodes = list(dict.fromkeys(n for r in rows for n in (r["source"], r["target"])))
-    place = {n: i for i, n in enumerate(nodes)}
-    figure = go.Figure(
-        go.Sankey(
-            node={"label": nodes},
-            link={
-                "source": [place[r["source"]] for r in rows],
-                "target": [place[r["target"]] for r in rows],
-                "value": [r["value"] for r in rows],
-            },
-        )
-    )
-    try:
-        figure.write_image(str(path), width=960, height=500, scale=2)
-    except Exception as problem:  # noqa: BLE001 - the renderer is optional
-        log.warning("no plot: %s", problem)
-        return None
-    return Path(path)

@@ -79,10 +79,10 @@ def matched_rows(
 def map_names(
     queries: DataFrame, models: DataFrame, lookup: Lookup, prefixes=V.COLLECTION_PREFIXES
 ) -> Mapping:
-    """All steps of a mapping run; only tokenized names and matched rows run eagerly."""
+    """All steps of a mapping run. Matched, rescued and final rows are each worked out once and kept."""
     inputs = cleaned(queries)
     matched = cut_lineage(matched_rows(inputs, models, prefixes))
     candidates = needs_rescue(matched)
-    rescued = rescue(candidates, lookup)
-    final = merge_rescued(matched, rescued)
+    rescued = cut_lineage(rescue(candidates, lookup))
+    final = cut_lineage(merge_rescued(matched, rescued))
     return Mapping(inputs, matched, candidates, rescued, final, report_items(final))

@@ -15,11 +15,10 @@ from ..operators.report import (
 )
 from ..operators.rows import band_breakdown, filtering_totals
 from ..operators.taxonomy import compile_taxonomy, taxonomy_stats
-from ..session import cut_lineage
 from ..sources.dump import load_lookup, read_dump, resolve_dump, save_lookup
-from ..sources.sinks import export_lookup, read_document, run_folders, write_csv, write_report
+from ..sources.sinks import export_lookup, run_folders, write_csv, write_report
 from ..sources.tables import read_catalogue, read_queries
-from .html import html_lines, write_flow_plot, write_html, write_pdf
+from .html import html_lines, write_html
 from .mapping import MATCH_COLUMNS, map_names
 
 log = logging.getLogger(__name__)
@@ -35,7 +34,6 @@ def map_file(
     job_id, folder = run_folders(output, name)
     debug, results = folder / "debug", folder / "results"
     run = map_names(read_queries(spark, source), read_catalogue(spark, models), load_lookup(spark, lookup))
-    run.final = cut_lineage(run.final)
     rescued = run.final.where("bands <> 'auto-accept'")
     order = output_order()
 
@@ -44,7 +42,6 @@ def map_file(
     write_json(debug / "02_filtering_stats.json", filtering_stats(run.matched))
     if not run.candidates.isEmpty():
         write_csv(run.candidates, debug / "02_rescue_candidates.csv", order, MATCH_COLUMNS)
-        run.rescued = cut_lineage(run.rescued)
         rescued = run.rescued
         write_csv(rescued, debug / "03_rescue_process.csv", order)
         log.info("outcomes: %s", {r["final_band"]: r["n"] for r in outcome_counts(rescued).collect()})
@@ -55,8 +52,7 @@ def map_file(
     for row in status_summary(run.items).orderBy("place").collect():
         log.info("%-15s %6d (%5.1f%%) %s", row["name"], row["n"], row["pct"], "█" * row["bar"])
     if plots:
-        (folder / "plots").mkdir(exist_ok=True)
-        write_flow_plot(flow_links(run.final), folder / "plots" / "panel_C_sankey.png")
+        write_csv(flow_links(run.final), folder / "plots" / "flow_links.csv", ["source", "target"])
     if report:
         details = detail_records(run.matched, rescued, run.items)
         lines = html_lines(
@@ -64,7 +60,6 @@ def map_file(
             status_table(run.items), dedup_audit(run.inputs, run.matched), details, order,
         )
         write_html(lines, folder / "debug_report.html")
-        write_pdf(read_document(folder / "debug_report.html"), folder / "debug_report.pdf")
     return folder
 
 

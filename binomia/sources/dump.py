@@ -74,13 +74,22 @@ def save_lookup(lookup: Lookup, path: str) -> None:
 
 def load_lookup(spark: SparkSession, path: str) -> Lookup:
     """Stored lookup; an empty one with a warning where nothing is stored."""
-    if path.endswith(".json"):
+    if path.rstrip("/").endswith((".json", "lookup_json")):
         return import_lookup(spark, path)
-    try:
-        return Lookup(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/records"))
-    except Exception as problem:  # noqa: BLE001 - a missing store must not stop the run
-        log.warning("no lookup at %s: %s", path, problem)
+    if not _status(spark, f"{path}/keys"):
+        log.warning("no lookup at %s", path)
         return empty_lookup(spark)
+    return Lookup(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/records"))
+
+
+def _status(spark: SparkSession, path: str) -> str:
+    """What lies at a path of any file system: "file", "folder", or "" where nothing does."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(str(path))
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return ""
+    return "folder" if system.getFileStatus(place).isDirectory() else "file"
 
 
 def empty_lookup(spark: SparkSession) -> Lookup:
@@ -91,16 +100,21 @@ def empty_lookup(spark: SparkSession) -> Lookup:
 
 
 def import_lookup(spark: SparkSession, path: str) -> Lookup:
-    """Lookup from one JSON object ``{key: [record, ...]}``.
+    """Lookup from a JSON object ``{key: [record, ...]}``.
 
-    One JSON object cannot be split, so one task parses it; store the result with
-    :func:`save_lookup`. A missing or broken file gives an empty lookup.
+    A folder is what :func:`export_lookup` writes, one key per line in any number of parts, and is
+    read in parallel. A single file cannot be split, so one task parses it; store the result with
+    :func:`save_lookup`. A missing or broken file gives an empty lookup; other failures are raised.
     """
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except Exception as problem:  # noqa: BLE001
-        log.warning("no lookup at %s: %s", path, problem)
+    kind = _status(spark, path)
+    if not kind:
+        log.warning("no lookup at %s", path)
         return empty_lookup(spark)
+    if kind == "folder":
+        lines = spark.read.text(path).filter(~F.trim("value").isin("{", "}", ""))
+        text = lines.select(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")).alias("value"))
+    else:
+        text = spark.read.text(path, wholetext=True)
     parsed = text.select(
         F.explode(F.from_json("value", F.lit(f"map<string,array<{LOOSE_RECORD}>>"))).alias("key", "recs")
     )

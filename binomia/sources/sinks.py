@@ -1,5 +1,6 @@
 """Writers of run files."""
 
+import json
 from datetime import datetime
 from pathlib import Path
 
@@ -72,7 +73,7 @@ def write_report(items: DataFrame, job_id: str, order, path, timestamp: str) ->
     total = items.count()
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     head = (
-        f'{{"jobId": "{job_id}", "timestamp": "{timestamp}", '
+        f'{{"jobId": {json.dumps(job_id)}, "timestamp": {json.dumps(timestamp)}, '
         f'"total_bacteria": {total}, "results": ['
     )
     write_json_document(head, items.withColumn("text", text), order, "]}", path)

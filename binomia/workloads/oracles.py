@@ -428,7 +428,7 @@ ORACLES = {
         from (select pos, place, x, string_split(x, '@@') as p from (select pos, unnest(xs) as x, unnest(range(len(xs))) as place
         from (select pos, string_split(t, ';') as xs from (select pos, {_PR} as t from final_t) where t <> 'no candidates')))"""),
     "detail_records": from_final("""select f.pos, l.status, l.confidence_score, case when l.mapped_id in ('no_suggestion', '') then '' else l.mapped_id end as mapped_id,
-        (case when f.n_candidates <= 100 then 3 else 0 end)::bigint as n_shown from final_t f
+        3::bigint as n_shown from final_t f
         join (select query_name, arg_max(status, pos) as status, arg_max(confidence_score, pos) as confidence_score, arg_max(mapped_id, pos) as mapped_id
         from items group by query_name) l on l.query_name = f.taxa_name""", ITEMS),
     "input_types": from_final(r"""select case when has_code_or_cc = 1 then 'CAG / unculture' when regexp_matches(taxa_name, '(?i)\bbacterium\b') then 'Higher-rank label'

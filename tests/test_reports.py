@@ -66,12 +66,17 @@ def test_flow(final):
     }
 
 
-def test_ranked_and_shown(evaluate, spark):
+def test_ranked(evaluate):
     got = evaluate(["a@@100@@why;b@@20;c", "no candidates", None], report.parse_ranked)
     assert [tuple(x) for x in got[0][0]] == [("a", "100", "why"), ("b", "20", ""), ("c", "?", "")]
     assert got[1][0] == got[2][0] == []
-    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(101)), lambda x: x.cast("string")).alias("c"))
-    assert many.select(report.shown_candidates(F.col("c"), F.lit("7")).alias("s")).first()["s"] == ["7"]
+
+
+def test_details_keep_all_candidates(final):
+    many = final.withColumn("mat_candidates_str", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda x: x.cast("string")), ";"))
+    many = many.withColumn("n_candidates", F.lit(150))
+    shown = report.detail_records(many, None, report.report_items(final)).select(F.size("candidates").alias("n")).collect()
+    assert {r["n"] for r in shown} == {150}
 
 
 def test_bins(evaluate):

@@ -150,6 +150,8 @@ def test_compile_and_import(spark, dump_folder, tmp_path):
     single = tmp_path / "lookup.json"
     single.write_text(text, encoding="utf-8")
     stored, imported = dump.load_lookup(spark, out), dump.load_lookup(spark, str(single))
+    folder = dump.load_lookup(spark, f"{out}/lookup_json")
+    assert sorted(folder.keys.select("key", "ord").collect()) == sorted(stored.keys.select("key", "ord").collect())
     assert stored.keys.count() == imported.keys.count() == 8
 
 
