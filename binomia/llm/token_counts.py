@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,19 @@ from pyspark.sql import functions as F
 from binomia.llm.common import map_batches, needed, stash
 from binomia.llm.pretokens import pieces
 
-#: Documents whose frequencies share one word list.
-CHUNK_ROWS = 1000
+#: Most documents whose frequencies share one word list; a batch of the scan may hold fewer.
+CHUNK_ROWS = 10_000
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small numbers, compressed byte plane by byte plane."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 class _Chunks:
@@ -40,7 +52,7 @@ class _Chunks:
                 elif part:
                     found += map(place.__getitem__, self.pieces.units(part))
             where, count = np.unique(np.array(found, np.int32), return_counts=True)
-            index.append(where)
+            index.append(np.diff(where, prepend=np.int32(0)))
             freq.append(count.astype(np.int32))
             sizes.append(len(where))
             added.append(n_added)
@@ -53,8 +65,8 @@ class _Chunks:
             "n_bytes": [n_bytes],
             "added": [added],
             "sizes": [sizes],
-            "index": [np.concatenate(index)],
-            "freq": [np.concatenate(freq)],
+            "steps": [packed(np.concatenate(index))],
+            "freq": [packed(np.concatenate(freq))],
             "words": [list(place)],
         }
 
@@ -70,7 +82,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int
         map_batches(
             needed(docs, "doc_id", "text"),
             lambda batch, state: [state.table(batch)],
-            "chunk long, doc_id array<long>, n_bytes array<long>, added array<int>, sizes array<int>, index array<int>, freq array<int>, words array<string>",
+            "chunk long, doc_id array<long>, n_bytes array<long>, added array<int>, sizes array<int>, steps binary, freq binary, words array<string>",
             rows=chunk_rows,
             start=lambda: _Chunks(path),
         )
@@ -91,15 +103,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int
 
     def summed(batch):
         for row in range(batch.num_rows):
-            at = {c: batch.column(c)[row].values for c in ("doc_id", "n_bytes", "added", "sizes", "index", "freq")}
+            at = {c: batch.column(c)[row].values for c in ("doc_id", "n_bytes", "added", "sizes")}
+            sizes = np.array(at["sizes"])
+            ends = np.cumsum(sizes)
+            steps, freq = (unpacked(batch.column(c)[row].as_py()) for c in ("steps", "freq"))
+            # the steps begin anew with every document
+            index = np.cumsum(steps)
+            index -= np.repeat(np.concatenate([[0], index])[ends - sizes], sizes)
             pieces = batch.column("pieces")[row].values
             n = np.array(pieces, np.int64) if pieces is not None else np.zeros(0, np.int64)
-            product = n[np.array(at["index"])] * np.array(at["freq"])
-            ends = np.cumsum(np.array(at["sizes"]))
-            total = np.concatenate([[0], np.cumsum(product)])
-            tokens = total[ends] - total[np.concatenate([[0], ends[:-1]])] + np.array(at["added"])
+            total = np.concatenate([[0], np.cumsum(n[index] * freq)])
+            tokens = total[ends] - total[ends - sizes] + np.array(at["added"])
             yield {"doc_id": at["doc_id"], "n_bytes": at["n_bytes"], "n_tokens": tokens, "over_limit": tokens > limit}
 
     return map_batches(
-        chunks.drop("words").join(counts, "chunk", "left"), summed, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows=4
+        chunks.drop("words").join(counts, "chunk", "left"), summed, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows=2
     )
