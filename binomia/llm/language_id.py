@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from binomia.llm.common import CACHED_WORDS, fold, map_batches, needed
 
 #: Labelled rows that are learned from, and characters of each that are read in training.
-SAMPLE, SAMPLE_CHARS = 4000, 2000
+SAMPLE, SAMPLE_CHARS = 2000, 1000
 BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 #: Share of the held-back rows whose score lies below the rejection threshold.
 REJECTED = 0.01
@@ -92,7 +92,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit_language(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, batch: int = 16, seed: int = 7) -> LanguageModel:
+def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, batch: int = 16, seed: int = 7) -> LanguageModel:
     """Train on (text, lang) rows; a fifth of them is held back for the temperature and the threshold."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
