@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from binomia.session import shared_folder
 
-#: Cached words per Python worker; the cache starts anew beyond this, so its memory is bounded.
-CACHED_WORDS = 150_000
 #: Byte classes that separate words: the space and the bytes 09 to 0D. bytes.split() splits at the same six.
 SEPARATORS = " \t\n\x0b\x0c\r"
 _SEPARATOR_BYTES = [c.encode() for c in SEPARATORS]

@@ -4,7 +4,7 @@ A word's features are the word and its character n-grams, hashed into a fixed nu
 the mean of its features' vectors. The vectors and the softmax are trained by stochastic gradient descent
 in numpy on a bounded sample of labelled rows (`SAMPLE`); a temperature and a rejection threshold are
 calibrated on a part of the sample held back from training. For prediction vectors and softmax are
-multiplied into one table of scores, so a word's contribution is worked out once and remembered.
+multiplied into one table of scores, so a text costs a lookup for each feature and label.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import CACHED_WORDS, fold, map_batches, needed
+from binomia.llm.common import fold, map_batches, needed, word_hashes
 
 #: Labelled rows that are learned from, and characters of each that are read in training.
 SAMPLE, SAMPLE_CHARS = 2000, 1000
@@ -28,11 +27,35 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def subwords(word: str) -> list[int]:
-    """Hash rows of the word and of its character n-grams with marked ends."""
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in grams]
+#: Words whose features are worked out at once; longer texts are read in such blocks.
+BLOCK_WORDS = 100_000
+_SPACE, _SPREAD, _BITS = 32, np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - (BUCKETS - 1).bit_length())
+
+
+def subwords(words: list[str]) -> np.ndarray:
+    """Hash rows of the words and of their character n-grams, whose ends are marked by one space.
+
+    The n-grams are read from the words laid out between single spaces; one with a space inside would
+    reach into the next word and is left out.
+    """
+    line = " ".join(words)
+    rows = [(word_hashes(line.encode("utf-8", "replace")) % np.uint64(BUCKETS)).astype(np.int32)]
+    codes = np.frombuffer(f" {line} ".encode("utf-32-le", "replace"), "<u4")
+    inner, grams = codes != _SPACE, codes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for n in SIZES:
+            if n > 1:
+                grams = grams[:-1] * _SPREAD + codes[n - 1 :]
+            whole = np.ones(max(len(codes) - n + 1, 0), bool)
+            for k in range(1, n - 1):
+                whole &= inner[k : k + len(whole)]
+            rows.append((((grams[: len(whole)] + np.uint64(n)) * _SPREAD) >> _BITS).astype(np.int32)[whole])
+    return np.concatenate(rows)
+
+
+def blocks(text: str) -> list[list[str]]:
+    words = text.lower().split()
+    return [words[at : at + BLOCK_WORDS] for at in range(0, len(words), BLOCK_WORDS)]
 
 
 @dataclass
@@ -47,36 +70,19 @@ class LanguageModel:
 
 
 class Scorer:
-    """Probabilities of texts; the sums of a word's rows are remembered for a bounded number of words."""
+    """Probabilities of texts."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.place, self.sums, self.counts = model, {}, None, None
-        self._clear()
-
-    def _clear(self):
-        self.place.clear()
-        self.sums = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.counts = np.zeros(1024, np.int32)
-
-    def _learn(self, word: str) -> int:
-        at = len(self.place)
-        if at == len(self.counts):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        rows = subwords(word)
-        self.sums[at] = self.model.table[rows].sum(0)
-        self.counts[at] = len(rows)
-        self.place[word] = at
-        return at
+        self.model = model
+        self.columns = [np.ascontiguousarray(c) for c in model.table.T]
 
     def logits(self, text: str) -> np.ndarray:
-        if len(self.place) > CACHED_WORDS:
-            self._clear()
-        get, learn = self.place.get, self._learn
-        words = text.lower().split()
-        at = np.fromiter((learn(w) if (k := get(w)) is None else k for w in words), np.int64, len(words))
-        total = self.sums[at].sum(0, dtype=np.float64) / max(int(self.counts[at].sum()), 1)
-        return (total + self.model.bias) / self.model.temperature
+        total, n = np.zeros(len(self.columns)), 0
+        for words in blocks(text):
+            rows = subwords(words)
+            total += [c.take(rows).sum(dtype=np.float64) for c in self.columns]
+            n += len(rows)
+        return (total / max(n, 1) + self.model.bias) / self.model.temperature
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Label, probability and whether the text is rejected."""
@@ -98,11 +104,11 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5
     rng = np.random.default_rng(seed)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    seen: dict[str, list[int]] = {}
-    features = [
-        np.array([r for w in text.lower().split() for r in (seen.get(w) or seen.setdefault(w, subwords(w)))], np.int32) for text, _ in rows
-    ]
-    kept = [k for k in rng.permutation(len(rows)).tolist() if len(features[k])]
+    features = []
+    for text, _ in rows:
+        found = [subwords(words) for words in blocks(text)]
+        features.append(np.unique(np.concatenate(found), return_counts=True) if found else ())
+    kept = [k for k in rng.permutation(len(rows)).tolist() if features[k]]
     held, train = kept[: len(kept) // 5], kept[len(kept) // 5 :]
     labels = np.array([langs.index(lang) for _, lang in rows])
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
@@ -114,14 +120,15 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5
             group = order[at : at + batch]
             pace = rate * (1 - done / steps)
             done += len(group)
-            means = np.stack([vectors[features[k]].mean(0) for k in group])
+            means = np.stack([n @ vectors[f] / n.sum() for f, n in (features[k] for k in group)])
             error = softmax(means @ out + bias)
             error[np.arange(len(group)), labels[group]] -= 1
             back = error @ out.T
             out -= pace * means.T @ error
             bias -= pace * 0.1 * error.sum(0)
             for k, g in zip(group, back, strict=True):
-                np.subtract.at(vectors, features[k], pace * g / len(features[k]) * 4)
+                f, n = features[k]
+                vectors[f] -= np.outer(n, pace * g / n.sum() * 4)
     model = LanguageModel(langs, (vectors @ out).astype(np.float32), bias, 1.0, 0.0)
     scorer = Scorer(model)
     checked = held or train
@@ -134,7 +141,7 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5
 
 
 def train_language(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fit on at most `sample` rows outside the held-out fold, at most sample // 8 of each lang first.
+    """Fit on at most `sample` rows outside the held-out fold, in the order of a hash of their ids.
 
     Only text and non-null lang are read. The sample is bounded by its parameters; langs are learned as
     far as the sample holds them.
