@@ -45,6 +45,8 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"[.#]?[A-Za-z_][\w-]*$")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Numbers in attributes, as far as 32 bits hold them.
+_NUMBER = re.compile(r"[0-9]{1,9}$")
 
 
 class Node:
@@ -101,6 +103,11 @@ class TreeBuilder(HTMLParser):
             self.css.append(data)
         self.stack[-1].children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section of any name is skipped as browsers do, not an error."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def _open(self, tag, attrs):
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
@@ -213,7 +220,7 @@ class Layout:
                     self.end(tag in APART and not (tag in ("ul", "ol") and counters))
                 if tag in ("ul", "ol", "menu", "dir"):
                     start = item.attrs.get("start", "1")
-                    counters.append(int(start) if tag == "ol" and start.isdecimal() else 1 if tag == "ol" else None)
+                    counters.append(int(start) if tag == "ol" and _NUMBER.match(start) else 1 if tag == "ol" else None)
                     self.indent += 1
                 elif tag in ("blockquote", "dd"):
                     self.indent += 1
@@ -247,7 +254,7 @@ class Layout:
                 for c in node.children:
                     if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, self.hidden):
                         span = c.attrs.get("colspan", "1")
-                        cells += [self.flat(c)] + [""] * (min(int(span), 1000) - 1 if span.isdecimal() and int(span) else 0)
+                        cells += [self.flat(c)] + [""] * (min(int(span), 1000) - 1 if _NUMBER.match(span) and int(span) else 0)
                 rows.append(cells)
             else:
                 work += [c for c in reversed(node.children) if isinstance(c, Node)]
