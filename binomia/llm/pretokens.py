@@ -1,7 +1,7 @@
 """Pre-tokens and pieces of public tokenizer files, without running a tokenizer over whole texts.
 
-A unit is a stretch of text that a tokenizer never joins with its neighbours: what stands between white
-space, or a space and what follows it. Units repeat far more often than texts do, so their pieces are
+A unit is a stretch of text that a tokenizer never joins with its neighbours: a pre-token of the
+byte-level file, what stands between white space in the lower-case one. Units repeat far more often than texts do, so their pieces are
 worked out once and remembered or joined.
 """
 
@@ -19,8 +19,6 @@ LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}
 #: Beyond these characters classes, case and composed forms depend on the Unicode version: the library splits such texts.
 _OTHER = re.compile("[^\x00-ɏ]")
 _ODD = b"\x00\x1c\x1d\x1e\x1f\x85\xa0"
-#: White space next to a space or a line break is grouped across units.
-_GROUPED = re.compile(r"[ \n][ \n]|[\t\r\x0b\x0c]")
 
 
 def plain(text: str) -> bool:
@@ -63,9 +61,7 @@ class Pieces:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         if self.lower:
             return text.lower().split()
-        if _GROUPED.search(text):
-            return self.find(text)
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        return self.find(text)
 
     def encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]

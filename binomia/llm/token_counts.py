@@ -1,8 +1,8 @@
 """Token counts: pieces are counted once per distinct pre-token and summed by document.
 
 A chunk of documents keeps the frequencies of its pre-tokens as indexes into the chunk's own word
-list. Only these lists travel: their distinct entries are counted once in the whole corpus, joined
-back to the lists and multiplied with the frequencies. No ids are kept anywhere. A common pre-token
+list. Only these lists travel: they are dealt out and sorted by pre-token, whose pieces are counted once,
+and the counts are joined back to the chunks and multiplied with the frequencies. No ids are kept anywhere. A common pre-token
 occurs once per chunk, so no key of the join is hot.
 """
 
@@ -71,6 +71,18 @@ class _Chunks:
         }
 
 
+def _counted(batch, library):
+    """The piece counts of a batch of sorted (word, chunk, place), packed chunk by chunk as places and counts."""
+    words = batch.column("word").dictionary_encode()
+    n = np.array([len(x) for x in library.encode(words.dictionary.to_pylist())], np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+    chunk, place = batch.column("chunk").to_numpy(), batch.column("place").to_numpy()
+    order = np.lexsort((place, chunk))
+    chunk, place, n = chunk[order], place[order].astype(np.int64), n[order]
+    firsts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+    rows = zip(np.split(place, firsts[1:]), np.split(n, firsts[1:]), strict=True)
+    yield {"chunk": chunk[firsts], "part": [packed(np.concatenate(r)) for r in rows]}
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text).
 
@@ -87,18 +99,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int
             start=lambda: _Chunks(path),
         )
     )
-    listed = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    counted = map_batches(
-        listed.select("word").distinct(),
-        lambda batch, library: [{"word": batch.column(0), "n": [len(x) for x in library.encode(batch.column(0).to_pylist())]}],
-        "word string, n int",
-        rows=2048,
-        start=lambda: pieces(path),
-    )
+    # equal words are dealt to one task and lie next to each other there, at most one for each chunk
+    listed = chunks.select("chunk", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
     counts = (
-        listed.join(counted, "word")
+        map_batches(listed.select("word", "chunk", "place"), _counted, "chunk long, part binary", rows=1 << 20, start=lambda: pieces(path))
         .groupBy("chunk")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("pieces"))
+        .agg(F.collect_list("part").alias("parts"))
     )
 
     def summed(batch):
@@ -110,8 +116,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk_rows: int
             # the steps begin anew with every document
             index = np.cumsum(steps)
             index -= np.repeat(np.concatenate([[0], index])[ends - sizes], sizes)
-            pieces = batch.column("pieces")[row].values
-            n = np.array(pieces, np.int64) if pieces is not None else np.zeros(0, np.int64)
+            parts = batch.column("parts")[row].as_py() or []
+            places, known = (np.concatenate([np.zeros(0, np.int64), *(unpacked(p).reshape(2, -1)[k] for p in parts)]) for k in (0, 1))
+            n = np.zeros(len(places), np.int64)
+            n[places] = known
             total = np.concatenate([[0], np.cumsum(n[index] * freq)])
             tokens = total[ends] - total[ends - sizes] + np.array(at["added"])
             yield {"doc_id": at["doc_id"], "n_bytes": at["n_bytes"], "n_tokens": tokens, "over_limit": tokens > limit}
