@@ -45,6 +45,18 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def least_hashes(df: DataFrame, place: Column, rows: int) -> DataFrame:
+    """The rows of df with the `rows` least values of place, a 64-bit hash, and about as many more.
+
+    An ordering with a limit sends its rows from every partition to the driver; after this cut, whose
+    bound follows from the count, all partitions together hold few. Repeated values stay together.
+    """
+    n = df.count()
+    if n <= 2 * rows:
+        return df
+    return df.filter(place < F.lit(-(2**63) + 2 * rows * 2**64 // n))
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, rows: int = 256, start: Callable | None = None
 ) -> DataFrame:

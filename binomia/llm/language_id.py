@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import fold, map_batches, needed, word_hashes
+from binomia.llm.common import fold, least_hashes, map_batches, needed, word_hashes
 
 #: Labelled rows that are learned from, and characters of each that are read in training.
 SAMPLE, SAMPLE_CHARS = 2000, 1000
@@ -141,15 +141,16 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5
 
 
 def train_language(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fit on at most `sample` rows outside the held-out fold, in the order of a hash of their ids.
+    """Fit on the `sample` rows outside the held-out fold with the least hashes of their ids.
 
     Only text and non-null lang are read. The sample is bounded by its parameters; langs are learned as
     far as the sample holds them.
     """
+    known = needed(docs, "doc_id", "text", "lang").filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.xxhash64("doc_id")
     rows = (
-        needed(docs, "doc_id", "text", "lang")
-        .filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.substring("text", 1, sample_chars).alias("text"), "lang", F.xxhash64("doc_id").alias("place"))
+        least_hashes(known, place, sample)
+        .select(F.substring("text", 1, sample_chars).alias("text"), "lang", place.alias("place"))
         .orderBy("place", "lang", "text")
         .limit(sample)
     )

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import fold, map_batches, needed
+from binomia.llm.common import fold, least_hashes, map_batches, needed
 
 #: Labelled rows of each quality to learn from, and bytes of each that are read in training.
 SAMPLE, SAMPLE_CHARS = 1200, 6000
@@ -94,7 +94,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, samp
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = None
     for quality in (0, 1):
-        some = known.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        place = F.xxhash64("doc_id")
+        some = least_hashes(known.filter(F.col("quality") == quality), place, sample).orderBy(place, "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionAll(some)
     texts = needed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, sample_chars).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("quality", "doc_id", "text").limit(4 * sample).collect()

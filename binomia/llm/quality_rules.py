@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import SEPARATORS, fold, map_batches, needed, shingles, word_hashes
+from binomia.llm.common import SEPARATORS, fold, least_hashes, map_batches, needed, shingles, word_hashes
 
 #: Labelled documents of each label that the weights are fitted on, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 400, 20_000
@@ -172,13 +172,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample
     """
     chosen = None
     for quality in (0, 1):
-        some = (
+        marked = (
             labels.select("doc_id", "quality")
             .filter((F.col("quality") == quality) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
             .dropDuplicates(["doc_id"])
-            .orderBy(F.xxhash64("doc_id"), "doc_id")
-            .limit(sample)
         )
+        place = F.xxhash64("doc_id")
+        some = least_hashes(marked, place, sample).orderBy(place, "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionAll(some)
     texts = needed(docs, "doc_id", "text").filter(F.octet_length("text") <= sample_bytes)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").limit(4 * sample).collect()
