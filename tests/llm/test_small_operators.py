@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from binomia.llm.common import least_hashes
 from binomia.llm.html_text import html_text, rendered
 from binomia.llm.language_id import fit_language, language_id, train_language
 from binomia.llm.packing import best_fit_packing, crossover, best_fit, evolve, numbered
@@ -176,3 +178,17 @@ def test_html(spark):
     got = html_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, html string, text string")).collect()
     assert [r.text is None for r in got if r.page_id == 2] == [True] and len(got) == 6
     assert [r.text for r in got if r.page_id == 5] == ["deep", "deep"]
+
+
+def test_broken_html_and_huge_numbers():
+    assert rendered("<![foo[x]]>a") == "a"
+    assert rendered("<![if x]>b<![endif]>c") == "bc"
+    assert rendered(f"<ol start={'9' * 5000}><li>a") == "1. a"
+
+
+def test_least_hashes_keeps_the_least(spark):
+    df = spark.range(10_000).withColumn("place", F.xxhash64("id"))
+    cut = least_hashes(df, F.col("place"), 500)
+    assert cut.count() < 2000
+    want = [r["id"] for r in df.orderBy("place").limit(500).collect()]
+    assert [r["id"] for r in cut.orderBy("place").limit(500).collect()] == want
