@@ -4,8 +4,10 @@ A random walk over a word sequence (one step of the output per tick, one word ah
 the word says so) embeds edit distance into Hamming distance. Windows of documents and the benchmark
 items take the same walks; a few sampled output places are one hash key. Each repetition has its own
 walk and its own places. How many repetitions are made follows from a simulation: copies of the items
-with as many random edits as are still allowed must collide with the target recall. Collisions are
-checked with the exact word edit distance between the item and the best stretch near the window.
+with as many random edits as are still allowed must collide with the target recall, in every size class
+by itself. A class that doesn't get there is searched for by pieces instead, which is exact: of k + 1 pieces of
+an item, k edits leave one as it is. Collisions are checked with the exact word edit distance between
+the item and the best stretch near the window.
 
 A window is embedded only if it shares as many word pairs with the benchmark as the q-gram lemma
 demands of any window within the edit bound, so this filter loses nothing.
@@ -18,16 +20,19 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from binomia.llm.common import all_word_hashes, map_batches, mixed, needed
+from binomia.llm.common import all_word_hashes, map_batches, mixed, needed, shingles
 
 #: Least share of an item's words that must be found in place, its least length in words, recall to reach.
 SIMILARITY, MIN_WORDS, RECALL = 0.8, 5, 0.97
 #: Items that are searched for in one pass over the documents; a larger benchmark takes several.
 BLOCK_ITEMS = 20_000
-#: Sampled places of a key; ratio of the lengths of a size class; most repetitions; bits of the pair table.
+#: Sampled places of a key; ratio of the lengths of a size class; repetitions after which a class that
+#: misses the recall goes by pieces; bits of the pair table.
 PLACES, CLASS_RATIO, REPETITIONS, PAIR_BITS = 3, 1.2, 96, 22
 #: Documents that are searched together.
 BATCH_ROWS = 2048
+#: Pairs of a place in a text and an item's piece that are looked at together.
+PAIRS_AT_ONCE = 1 << 20
 _MASK = np.uint64((1 << PAIR_BITS) - 1)
 
 
@@ -109,8 +114,9 @@ class Benchmark:
     items: list[list[int]]
     similarity: float
     classes: list[tuple[int, int]]  # least length, pairs that must be shared
-    places: list[list[np.ndarray]]  # by repetition and class
-    tables: list[list[tuple[np.ndarray, np.ndarray]]]  # by repetition and class: sorted keys, item numbers
+    places: list[list[np.ndarray]]  # by class and repetition; none for a class that goes by pieces
+    tables: list[list[tuple[np.ndarray, np.ndarray]]]  # by class and repetition: sorted keys, item numbers
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # words of a piece, sorted keys, item numbers, places in the item
     pairs: np.ndarray  # which word pairs occur in the items
     seed: int = 11
 
@@ -127,17 +133,18 @@ class Benchmark:
             chosen.append(np.flatnonzero(total[span] - total[np.minimum(every, len(total) - 1)] >= demand))
         found: dict[tuple[int, int], set[int]] = {}
         for k, starts in enumerate(chosen):
-            if not len(starts):
+            if not len(starts) or not self.places[k]:
                 continue
             text = np.searchsorted(ends, starts)
             last = ends[text]
-            for repetition, (places, tables) in enumerate(zip(self.places, self.tables, strict=True)):
-                known, numbers = tables[k]
-                keys = walk_keys(words, starts, last, repetition, places[k], self.seed)
+            for repetition, (places, (known, numbers)) in enumerate(zip(self.places[k], self.tables[k], strict=True)):
+                keys = walk_keys(words, starts, last, repetition, places, self.seed)
                 low = np.searchsorted(known, keys, "left")
                 for x in np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys):
                     for number in numbers[low[x] : np.searchsorted(known, keys[x], "right")].tolist():
                         found.setdefault((int(text[x]), number), set()).add(int(starts[x] - first[text[x]]))
+        for of, number, start in self.by_pieces(words, first, ends, total):
+            found.setdefault((of, number), set()).add(start)
         for (of, number), hits in sorted(found.items()):
             item = self.items[number]
             most, at = allowed(len(item), self.similarity), sorted(hits)
@@ -153,6 +160,44 @@ class Benchmark:
                     out[of].append((number, edits, low + start, low + end))
         return out
 
+    def by_pieces(self, words: np.ndarray, first: np.ndarray, ends: np.ndarray, total: np.ndarray):
+        """(text, item number, start) where a piece of an item stands and as many word pairs around it as a leak needs."""
+        sizes = np.array([len(i) for i in self.items], np.int64)
+        most = np.array([allowed(n, self.similarity) for n in sizes.tolist()], np.int64)
+        for width, known, numbers, offsets in self.pieces:
+            keys = shingles(words, width)
+            low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+            at = np.flatnonzero(high > low)
+            done = np.concatenate([[0], np.cumsum((high - low)[at])])
+            while len(at):
+                # a bounded number of (place, piece) pairs at a time, one place at least
+                n = max(int(np.searchsorted(done, done[0] + PAIRS_AT_ONCE, "right")) - 1, 1)
+                times = (high - low)[at[:n]]
+                place = np.repeat(at[:n], times)
+                entry = np.repeat(low[at[:n]], times) + np.arange(len(place)) - np.repeat(done[:n] - done[0], times)
+                at, done = at[n:], done[n:]
+                number = numbers[entry]
+                start, text = place - offsets[entry], np.searchsorted(ends, place)
+                left = np.maximum(start - most[number], first[text])
+                right = np.minimum(start + sizes[number] + most[number], ends[text])
+                near = total[np.maximum(right - 1, left)] - total[left] >= sizes[number] - 1 - 2 * most[number]
+                yield from zip(text[near].tolist(), number[near].tolist(), np.maximum(start - first[text], 0)[near].tolist(), strict=True)
+
+
+def pieces_of(items: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tables, by words of a piece, of one more disjoint piece of each (number, words) than edits are allowed."""
+    by: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
+    for number, word in items:
+        width = len(word) // (allowed(len(word), similarity) + 1)
+        at = np.arange(allowed(len(word), similarity) + 1) * width
+        by.setdefault(width, []).append((shingles(word, width)[at], number, at))
+    out = []
+    for width, parts in sorted(by.items()):
+        keys, numbers = np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
+        order = np.argsort(keys, kind="stable")
+        out.append((width, keys[order], numbers[order], np.concatenate([p[2] for p in parts])[order]))
+    return out
+
 
 def build(rows: list[tuple[int, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL, seed: int = 11) -> Benchmark:
     """Embed a block of items; as many repetitions as the simulated edits need for the target recall."""
@@ -177,23 +222,26 @@ def build(rows: list[tuple[int, str]], similarity: float = SIMILARITY, min_words
                 at, kind = int(rng.integers(len(word))), int(rng.integers(3))
                 word[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 2**62))]
             edited.append((k, int(number), np.array(word, np.uint64)))
-    missed, places, tables = np.ones(len(edited), bool), [], []
-    if kept:
-        words, first, ends = lined_up([w for _, w in kept])
-        others, other_first, other_ends = lined_up([w for _, _, w in edited])
-        of, number = np.array([k for k, _, _ in edited]), np.array([n for _, n, _ in edited])
-    while kept and len(places) < REPETITIONS and (not places or 1 - missed.mean() < recall):
-        sampled = [np.sort(rng.choice(max(2 * low - 4, PLACES), PLACES, replace=False)) for low, _ in bounds]
-        keys = np.stack([walk_keys(words, first, ends, len(places), p, seed) for p in sampled])
-        again = np.stack([walk_keys(others, other_first, other_ends, len(places), p, seed) for p in sampled])
-        missed &= keys[of, number] != again[of, np.arange(len(of))]
-        places.append(sampled)
-        by = []
-        for k, members in enumerate(group):
-            order = np.argsort(keys[k][members], kind="stable")
-            by.append((keys[k][members][order], np.array(members, np.int64)[order]))
-        tables.append(by)
-    return Benchmark([i for i, _ in kept], [w.tolist() for _, w in kept], similarity, bounds, places, tables, pairs, seed)
+    places: list[list[np.ndarray]] = [[] for _ in bounds]
+    tables: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in bounds]
+    pieces: list[tuple[int, np.ndarray]] = []
+    for k, members in enumerate(group):
+        words, first, ends = lined_up([kept[m][1] for m in members])
+        others, other_first, other_ends = lined_up([w for c, _, w in edited if c == k])
+        of = np.searchsorted(members, [n for c, n, _ in edited if c == k])
+        missed = np.ones(len(of), bool)
+        while 1 - missed.mean() < recall:
+            if len(places[k]) == REPETITIONS:
+                places[k], tables[k] = [], []
+                pieces += [(m, kept[m][1]) for m in members]
+                break
+            sampled = np.sort(rng.choice(max(2 * bounds[k][0] - 4, PLACES), PLACES, replace=False))
+            keys = walk_keys(words, first, ends, len(places[k]), sampled, seed)
+            missed &= keys[of] != walk_keys(others, other_first, other_ends, len(places[k]), sampled, seed)
+            order = np.argsort(keys, kind="stable")
+            places[k].append(sampled)
+            tables[k].append((keys[order], np.array(members, np.int64)[order]))
+    return Benchmark([i for i, _ in kept], [w.tolist() for _, w in kept], similarity, bounds, places, tables, pieces_of(pieces, similarity), pairs, seed)
 
 
 def blocks(benchmark: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, **options):
