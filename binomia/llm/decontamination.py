@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from binomia.llm.common import all_word_hashes, map_batches, mixed, needed, shingles
 
-#: Least share of an item's words that must be found in place, its least length in words, recall to reach.
+#: Least share of an item's words that must be found in place, words below which all must be, recall to reach.
 SIMILARITY, MIN_WORDS, RECALL = 0.8, 5, 0.97
 #: Items that are searched for in one pass over the documents; a larger benchmark takes several.
 BLOCK_ITEMS = 20_000
@@ -44,6 +44,10 @@ def allowed(n_words: int, similarity: float) -> int:
     return int((1 - similarity) * n_words + 1e-9)
 
 
+def most_edits(n_words: int, similarity: float, min_words: int) -> int:
+    return allowed(n_words, similarity) if n_words >= min_words else 0
+
+
 def _least_edits(item: list[int], text: list[int]) -> tuple[int, int]:
     """Least edits between the item and any stretch of the text, and the first end that reaches them.
 
@@ -119,6 +123,11 @@ class Benchmark:
     pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # words of a piece, sorted keys, item numbers, places in the item
     pairs: np.ndarray  # which word pairs occur in the items
     seed: int = 11
+    min_words: int = MIN_WORDS
+
+    def most(self, number: int) -> int:
+        """Edits a leak of the item may have; short items stand word for word."""
+        return most_edits(len(self.items[number]), self.similarity, self.min_words)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
         """By text (hashes of its words): (item number, edits, start, end) of each place where an item is found."""
@@ -147,23 +156,31 @@ class Benchmark:
             found.setdefault((of, number), set()).add(start)
         for (of, number), hits in sorted(found.items()):
             item = self.items[number]
-            most, at = allowed(len(item), self.similarity), sorted(hits)
+            most, at = self.most(number), sorted(hits)
             runs = [[at[0], at[0]]]
             for s in at[1:]:
                 if s - runs[-1][1] > len(item):
                     runs.append([s, s])
                 runs[-1][1] = s
+            leaks = set()
             for low, high in runs:
-                low, high = max(0, low - most), high + len(item) + most
-                edits, start, end = edit_distance(item, texts[of][low:high].tolist())
-                if edits <= most:
-                    out[of].append((number, edits, low + start, low + end))
+                # the best stretch first, then what is left on both sides of it
+                open_ = [(max(0, low - most), min(high + len(item) + most, len(texts[of])))]
+                while open_:
+                    low, high = open_.pop()
+                    if high - low < len(item) - most:
+                        continue
+                    edits, start, end = edit_distance(item, texts[of][low:high].tolist())
+                    if edits <= most:
+                        leaks.add((number, edits, low + start, low + end))
+                        open_ += [(low, low + start), (low + end, high)]
+            out[of] += sorted(leaks, key=lambda x: x[2:])
         return out
 
     def by_pieces(self, words: np.ndarray, first: np.ndarray, ends: np.ndarray, total: np.ndarray):
         """(text, item number, start) where a piece of an item stands and as many word pairs around it as a leak needs."""
         sizes = np.array([len(i) for i in self.items], np.int64)
-        most = np.array([allowed(n, self.similarity) for n in sizes.tolist()], np.int64)
+        most = np.array([self.most(k) for k in range(len(sizes))], np.int64)
         for width, known, numbers, offsets in self.pieces:
             keys = shingles(words, width)
             low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
@@ -184,12 +201,13 @@ class Benchmark:
                 yield from zip(text[near].tolist(), number[near].tolist(), np.maximum(start - first[text], 0)[near].tolist(), strict=True)
 
 
-def pieces_of(items: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces_of(items: list[tuple[int, np.ndarray]], similarity: float, min_words: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Tables, by words of a piece, of one more disjoint piece of each (number, words) than edits are allowed."""
     by: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
     for number, word in items:
-        width = len(word) // (allowed(len(word), similarity) + 1)
-        at = np.arange(allowed(len(word), similarity) + 1) * width
+        most = most_edits(len(word), similarity, min_words)
+        width = len(word) // (most + 1)
+        at = np.arange(most + 1) * width
         by.setdefault(width, []).append((shingles(word, width)[at], number, at))
     out = []
     for width, parts in sorted(by.items()):
@@ -201,8 +219,8 @@ def pieces_of(items: list[tuple[int, np.ndarray]], similarity: float) -> list[tu
 
 def build(rows: list[tuple[int, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, recall: float = RECALL, seed: int = 11) -> Benchmark:
     """Embed a block of items; as many repetitions as the simulated edits need for the target recall."""
-    kept = [(i, w) for (i, _), w in zip(rows, words_of([t for _, t in rows]), strict=True) if len(w) >= min_words]
-    lengths = sorted({len(w) for _, w in kept})
+    kept = [(i, w) for (i, _), w in zip(rows, words_of([t for _, t in rows]), strict=True) if len(w)]
+    lengths = sorted({len(w) for _, w in kept if len(w) >= min_words})
     classes: list[list[int]] = []
     for n in lengths:
         if not classes or n > classes[-1][0] * CLASS_RATIO:
@@ -224,7 +242,7 @@ def build(rows: list[tuple[int, str]], similarity: float = SIMILARITY, min_words
             edited.append((k, int(number), np.array(word, np.uint64)))
     places: list[list[np.ndarray]] = [[] for _ in bounds]
     tables: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in bounds]
-    pieces: list[tuple[int, np.ndarray]] = []
+    pieces = [(m, w) for m, (_, w) in enumerate(kept) if len(w) < min_words]
     for k, members in enumerate(group):
         words, first, ends = lined_up([kept[m][1] for m in members])
         others, other_first, other_ends = lined_up([w for c, _, w in edited if c == k])
@@ -241,7 +259,7 @@ def build(rows: list[tuple[int, str]], similarity: float = SIMILARITY, min_words
             order = np.argsort(keys, kind="stable")
             places[k].append(sampled)
             tables[k].append((keys[order], np.array(members, np.int64)[order]))
-    return Benchmark([i for i, _ in kept], [w.tolist() for _, w in kept], similarity, bounds, places, tables, pieces_of(pieces, similarity), pairs, seed)
+    return Benchmark([i for i, _ in kept], [w.tolist() for _, w in kept], similarity, bounds, places, tables, pieces_of(pieces, similarity, min_words), pairs, seed, min_words)
 
 
 def blocks(benchmark: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, **options):
@@ -268,7 +286,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, similarity: float = S
 
     docs has doc_id and text, benchmark item_id and text; other columns are ignored. Words are split at
     ASCII white space, A-Z lower-cased. Null and empty texts hold no leak; items of fewer than min_words
-    words are not searched for, null ids stay null, repeated rows of docs give repeated leaks, repeated
+    words are found word for word only, an item several times in a text gives a row each time, null ids stay null, repeated rows of docs give repeated leaks, repeated
     items count once. An empty table on either side gives an empty result. Whole texts are read.
     """
     context, out = docs.sparkSession.sparkContext, None

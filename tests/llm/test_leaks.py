@@ -36,3 +36,20 @@ def test_long_items_among_short_ones_reach_the_recall():
         caught = [any(f[0] == number for f in got) for got, n in zip(found, planted, strict=True) if n == number]
         assert np.mean(caught) >= 0.97
     assert all(f[0] == n and f[1] <= allowed(sizes[n], 0.8) for got, n in zip(found, planted, strict=True) for f in got)
+
+
+def test_short_items_and_repeated_leaks():
+    from binomia.llm.decontamination import words_of
+
+    rng = np.random.default_rng(15)
+    item = [_word(rng) for _ in range(20)]
+    changed = list(item)
+    changed[9] = "other"
+    block = build([(1, " ".join(item)), (2, "Answer is forty two"), (3, "xyzzy")])
+    texts = [item * 3, ["before"] + item + changed + item + ["after"], "so the answer is forty two".split(), "the answer was forty two".split(), "a xyzzy b XYZZY".split(), ["xyzzys"]]
+    found = [sorted((block.ids[n], e, a, b) for n, e, a, b in got) for got in block.find(words_of([" ".join(t) for t in texts]))]
+    assert found[0] == [(1, 0, 0, 20), (1, 0, 20, 40), (1, 0, 40, 60)]
+    assert found[1] == [(1, 0, 1, 21), (1, 0, 41, 61), (1, 1, 21, 41)]
+    assert found[2] == [(2, 0, 2, 6)] and not found[3] and not found[5]
+    assert found[4] == [(3, 0, 1, 2), (3, 0, 3, 4)]
+    assert build([(3, "xyzzy")]).find(words_of(["xyzzy"])) == [[(0, 0, 0, 1)]]
