@@ -163,7 +163,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         sets = shingle_sets(batch.column("text").to_pylist(), words)
         yield {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "n_low": [len(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
 
-    return map_batches(needed(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"), made, "doc_id long, n int, n_low int, tokens array<long>")
+    sets = map_batches(needed(docs, "doc_id", "text").join(ids, "doc_id", "left_semi"), made, "doc_id long, n int, n_low int, tokens array<long>")
+    return sets.dropDuplicates(["doc_id", "tokens"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -212,6 +213,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     equal = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
     first = stash(equal)
     one = held.filter("tokens is not null").join(first.select(F.col("class_id").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
+    # rows of one document in different batches each hold its tokens
+    one = one.dropDuplicates(["doc_id", "f1", "f2"])
     lists = stash(prefixes(one, similarity))
     met = stash(meetings(lists, boundary(lists, similarity), similarity))
     heads = met.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").select("key", "head")
