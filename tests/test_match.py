@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binomia.functions import vocab as V
+from binomia.session import cut_lineage
 from binomia.operators import dedup, match, rows
 
 CODE = re.compile(V.code_token(V.COLLECTION_PREFIXES))
@@ -94,13 +95,35 @@ def test_wide_sets_join_on_rare_tokens_only(spark):
     ids = spark.range(200)
     names = ids.select(F.concat(F.lit(common + " "), rare).alias("taxon"))
     models = ids.select(F.col("id").alias("model_pos"), F.concat(rare, F.lit(" " + common)).alias("model"))
-    prepared, catalogue = match.prepare_names(names), match.prepare_catalogue(models)
+    prepared, catalogue = cut_lineage(match.numbered(match.prepare_names(names))), match.prepare_catalogue(models)
     assert prepared.where("wide").count() == 200
-    assert match._wide_pairs(prepared, catalogue, V.COLLECTION_PREFIXES).count() < 200 * 12
+    # the common tokens form no pair
+    assert match.WideSets(prepared, catalogue, V.COLLECTION_PREFIXES).pairs().count() == 200
     best = match.match_names(names, models).best
     assert best.where("j_score = 1.0 and n_candidates = 1").count() == 200
 
 
+def test_wide_sets_with_low_similarities_form_few_pairs(spark):
+    """Texts of frequent words: nearly all pairs share some, few are counted to the end."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1.0 / (i + 3) for i in range(3000)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(12, 150))) for _ in range(500)]
+    names = spark.createDataFrame([(t,) for t in texts[:350]], "taxon string")
+    models = spark.createDataFrame([(k, t.replace(" ", "_")) for k, t in enumerate(texts[350:])], "model_pos long, model string")
+    prepared, catalogue = cut_lineage(match.numbered(match.prepare_names(names))), match.prepare_catalogue(models)
+    sets = match.WideSets(prepared, catalogue, V.COLLECTION_PREFIXES)
+    n = sets.pairs().count()
+    assert n < 0.12 * 350 * 150
+    left = [(r["name_no"], set(r["tokens"])) for r in prepared.collect()]
+    right = [(r["model_pos"], set(r["tokens"])) for r in catalogue.collect()]
+    kept = {(r["name_no"], r["model_pos"]) for r in sets.pairs().collect()}
+    for name_no, own in left:
+        found = {pos: len(own & other) / len(own | other) for pos, other in right}
+        best = max(found.values())
+        assert best == 0 or {(name_no, pos) for pos, j in found.items() if j >= best - 1e-5} <= kept
+
+
 def test_bands(spark):
     cases = [(0.9, True), (0.89, True), (0.3, False), (1.0, False), (0.29, True)]
     df = spark.createDataFrame(cases, "j double, g boolean").coalesce(1)
