@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.expr import words
 from ..functions.names import (
-    binomial, canonical_form, canonical_is_placeholder, lookup_variants,
+    binomial, canonical_form, canonical_is_placeholder, genus_species_pairs, lookup_variants,
 )
+from ..session import cut_lineage
 from .taxonomy import ids_key
 
 NAMES = "array<string>"
@@ -118,30 +119,99 @@ def with_merged_synonyms(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def name_pool(canonical, synonyms, genera) -> Column:
-    """Names of a record plus every epithet under every genus of its lineage."""
-    names = F.concat(F.array(canonical), synonyms)
-    epithets = F.array_distinct(
-        F.transform(F.filter(F.transform(names, words), lambda w: F.size(w) >= 2), lambda w: w[1])
+def with_pool(parsed: DataFrame) -> DataFrame:
+    """Add the names of a record without writing out their products.
+
+    A record answers to its names and to every epithet of a name under every genus of its
+    lineage. ``pool_names`` holds the former, ``pool_genera`` and ``pool_epithets`` stand for
+    the latter. A genus of several words leads to one name whatever the epithet, and one that
+    opens a bracket may join with the epithet; both are written out as names.
+    """
+    name = F.lit(" ")
+    nothing = F.array().cast(NAMES)
+    names = parsed.withColumn("_names", F.concat(F.array("canonical"), "synonyms"))
+    split = F.filter(F.transform("_names", words), lambda w: F.size(w) >= 2)
+    bracket = F.filter("lineage_genera", lambda g: F.startswith(g, F.lit("[")))
+    opened = F.transform(
+        F.filter("lineage_genera", lambda g: ~F.startswith(g, F.lit("["))), words
     )
-    moved = F.flatten(
-        F.transform(genera, lambda g: F.transform(epithets, lambda e: F.concat(g, F.lit(" "), e)))
+    plain = F.transform(F.filter(opened, lambda w: F.size(w) == 1), lambda w: w[0])
+    longer = F.transform(
+        F.filter(opened, lambda w: F.size(w) >= 2), lambda w: F.concat(w[0], name, w[1])
+    )
+    written = F.flatten(
+        F.transform(bracket, lambda g: F.transform("pool_epithets", lambda e: F.concat(g, name, e)))
+    )
+    fixed = F.when(F.size("pool_epithets") > 0, F.concat(longer, written)).otherwise(nothing)
+    return (
+        names.withColumn("pool_epithets", F.array_distinct(F.transform(split, lambda w: w[1])))
+        .withColumn("pool_genera", F.array_distinct(plain))
+        .withColumn("pool_names", tidy(F.transform(F.concat("_names", fixed), binomial)))
+        .drop("_names")
     )
-    return tidy(F.transform(F.concat(names, moved), binomial))
 
 
-def record_pools(lookup: Lookup) -> DataFrame:
-    """One row per record with all that scoring needs."""
-    parsed = with_merged_synonyms(parse_records(lookup.records), lookup.keys)
-    pooled = parsed.withColumn(
-        "pool", name_pool(F.col("canonical"), F.col("synonyms"), F.col("lineage_genera"))
+def expanded_pool() -> Column:
+    """All names of a record, written out for a file."""
+    moved = F.transform(
+        "pool_genera", lambda g: F.transform("pool_epithets", lambda e: F.concat(g, F.lit(" "), e))
     )
-    canon = F.transform("pool", canonical_form)
-    return pooled.withColumns(
+    return tidy(F.concat("pool_names", F.flatten(moved)))
+
+
+def expanded_aliases() -> Column:
+    """Lower-case (genus, epithet) pairs of all names, written out for a file."""
+    return genus_species_pairs(expanded_pool())
+
+
+def with_canonical_pool(pooled: DataFrame) -> DataFrame:
+    """The same in the form that candidates are compared in.
+
+    A genus and an epithet of one word each match the product; ``names_canon`` holds all other
+    names of two words, ``sp_heads`` the genera that have a placeholder such as ``genus sp``.
+    """
+    single = lambda c: (c != "") & ~c.contains(" ")
+    nothing = F.array().cast(NAMES)
+    canon = pooled.withColumns(
         {
-            "pool_canon": F.array_distinct(canon),
-            "pool_sp": F.filter(F.array_distinct(canon), canonical_is_placeholder),
-            "genera_canon": F.transform("lineage_genera", canonical_form),
-            "canonical_is_sp": canonical_is_placeholder(canonical_form(F.col("canonical"))),
+            "_g": F.transform("pool_genera", canonical_form),
+            "_e": F.transform("pool_epithets", canonical_form),
+            "_n": F.transform("pool_names", canonical_form),
         }
     )
+    # where one side has no letters the other alone is the name
+    lone = F.concat(
+        "_n",
+        F.when(F.array_contains("_e", ""), F.col("_g")).otherwise(nothing),
+        F.when(F.array_contains("_g", ""), F.col("_e")).otherwise(nothing),
+    )
+    canon = canon.withColumns(
+        {
+            "names_canon": F.array_distinct(lone),
+            "genera_one": F.array_distinct(F.filter("_g", single)),
+            "epithets_one": F.array_distinct(F.filter("_e", single)),
+        }
+    )
+    first = lambda c: F.get(words(c), F.lit(0))
+    placeholders = F.filter(F.concat("names_canon", "_g"), canonical_is_placeholder)
+    of_sp = F.exists("_e", lambda e: (e == "sp") | F.startswith(e, F.lit("sp ")))
+    moved = F.filter("genera_one", lambda g: canonical_is_placeholder(F.concat(g, F.lit(" sp"))))
+    heads = F.concat(F.transform(placeholders, first), F.when(of_sp, moved).otherwise(nothing))
+    canon = canon.withColumn("sp_heads", F.array_distinct(heads)).withColumn(
+        "genera_canon", F.transform("lineage_genera", canonical_form)
+    )
+    all_heads = F.concat(
+        "genera_canon", "genera_one", "sp_heads", F.filter(F.transform("names_canon", first), lambda w: w.isNotNull())
+    )
+    return canon.withColumns(
+        {
+            "heads": F.array_distinct(all_heads),
+            "canonical_is_sp": canonical_is_placeholder(canonical_form(F.col("canonical"))),
+        }
+    ).drop("_g", "_e", "_n")
+
+
+def record_pools(lookup: Lookup) -> DataFrame:
+    """One row per record with all that scoring needs."""
+    parsed = cut_lineage(parse_records(lookup.records))
+    return with_canonical_pool(with_pool(with_merged_synonyms(parsed, lookup.keys)))

@@ -1,5 +1,7 @@
 """Judge weak matches with the taxonomy: score, rank and recolour candidates."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions.names import (
     canonical_form, genus_species, genus_species_pairs, has_subspecies_marker,
     infraspecific_epithet, model_genus_species, plain_name, strict_id, strict_parts,
 )
-from .lookup import Lookup, find_records, record_pools
+from ..session import cut_lineage
+from .lookup import Lookup, expanded_aliases, expanded_pool, find_records, record_pools
 
 NAMES = "array<string>"
 
@@ -33,28 +36,29 @@ def candidates_or_match(text, mat) -> Column:
     )
 
 
-def score_model(model, pool_canon, pool_sp, genera_canon, canonical_is_sp) -> Column:
-    """How well a model name agrees with the names of a record, 0 to 100."""
+def model_pair(model) -> Column:
+    """Genus and epithet of a model in canonical form, null where the identifier has none."""
+    return let(
+        words(model_genus_species(model)),
+        lambda gs: F.when(
+            F.size(gs) >= 2,
+            F.struct(canonical_form(gs[0]).alias("g"), canonical_form(gs[1]).alias("s")),
+        ),
+    )
 
-    def score(gs):
-        g, s = canonical_form(gs[0]), canonical_form(gs[1])
-        return let(F.struct(g.alias("g"), s.alias("s")), ladder)
 
-    def ladder(m):
-        exact = F.array_contains(pool_canon, F.concat(m["g"], F.lit(" "), m["s"]))
-        same_sp = F.exists(pool_sp, lambda p: F.startswith(p, F.concat(m["g"], F.lit(" sp"))))
-        return (
-            F.when(exact & (m["s"] != "sp"), 100)
-            .when((m["s"] == "sp") & same_sp, 75)
-            .when(
-                F.array_contains(genera_canon, m["g"]), F.when(canonical_is_sp, 70).otherwise(60)
-            )
-            .otherwise(20)
-        )
+def pair_score(g, s) -> Column:
+    """How well a model's genus and epithet agree with the names of a record, 20 to 100.
 
-    return let(
-        words(model_genus_species(model)),
-        lambda gs: F.when(F.size(gs) >= 2, score(gs)).otherwise(0),
+    Reads the record's columns of :func:`.lookup.with_canonical_pool`.
+    """
+    moved = F.array_contains("genera_one", g) & F.array_contains("epithets_one", s)
+    exact = moved | F.array_contains("names_canon", F.concat(g, F.lit(" "), s))
+    return (
+        F.when(exact & (s != "sp"), 100)
+        .when((s == "sp") & F.array_contains("sp_heads", g), 75)
+        .when(F.array_contains("genera_canon", g), F.when(F.col("canonical_is_sp"), 70).otherwise(60))
+        .otherwise(20)
     )
 
 
@@ -65,44 +69,44 @@ def reason_of(score) -> Column:
     return out
 
 
-def ranked_candidates(candidates, pool_canon, pool_sp, genera_canon, canonical_is_sp) -> Column:
-    """Distinct candidates with score and reason: best first, then shorter, then as given."""
-    scored = F.transform(
-        F.array_distinct(candidates),
-        lambda m, i: F.struct(
-            (-score_model(m, pool_canon, pool_sp, genera_canon, canonical_is_sp)).alias("neg"),
-            F.char_length(m).alias("length"),
-            i.alias("place"),
-            m.alias("model"),
-        ),
-    )
-    return F.transform(
-        F.sort_array(scored),
-        lambda s: F.struct(
-            s["model"].alias("model"), (-s["neg"]).alias("score"), reason_of(-s["neg"]).alias("reason")
-        ),
-    )
+#: Scores a candidate can have: no genus and species, nothing shared, then as in pair_score.
+LEVELS = (0, 20, 60, 70, 75, 100)
 
 
-def median_of(ascending) -> Column:
-    """Median of a sorted array, null for an empty one."""
-    n = F.size(ascending)
-    low = F.get(ascending, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ascending, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / F.lit(2.0))
+def median_of_counts(counts) -> Column:
+    """Median score of so many candidates at each level, null for none."""
+    total = sum(counts.values(), F.lit(0))
 
+    def at(place):
+        below, out = F.lit(0), None
+        for level in LEVELS:
+            below = below + counts[level]
+            hit = place < below
+            out = F.when(hit, level) if out is None else out.when(hit, level)
+        return out
 
-def score_summary(scores) -> Column:
-    """Tier, top score, ties at the top and medians of an array of scores."""
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    return F.when(total > 0, (at(low) + at(high)) / F.lit(2.0))
 
-    def build(s):
-        top = F.element_at(s, -1)
-        return let(F.filter(s, lambda x: x < top), lambda rest: summary(s, top, rest))
 
-    def summary(s, top, rest):
-        n_top = F.size(s) - F.size(rest)
-        median_other = median_of(rest)
-        steady = median_other.isNull() | (median_other < 75)
+def summary_of_counts(counts) -> Column:
+    """Tier, top score, ties at the top and medians from the number of candidates at each level."""
+
+    def build(c):
+        n = {level: c[f"n{level}"] for level in LEVELS}
+        top = n_top = None
+        for level in reversed(LEVELS):
+            top = F.when(n[level] > 0, level) if top is None else top.when(n[level] > 0, level)
+            n_top = F.when(n[level] > 0, n[level]) if n_top is None else n_top.when(n[level] > 0, n[level])
+        known = F.struct(F.coalesce(top, F.lit(0)).alias("top"), F.coalesce(n_top, F.lit(0)).alias("n"))
+        return let(known, lambda k: summary(n, k["top"], k["n"]))
+
+    def summary(n, top, n_top):
+        rest = {level: F.when(F.lit(level) < top, n[level]).otherwise(F.lit(0)) for level in LEVELS}
+        return let(median_of_counts(rest), lambda other: verdict(n, top, n_top, other))
+
+    def verdict(n, top, n_top, other):
+        steady = other.isNull() | (other < 75)
         tier = (
             F.when(top < 100, "red")
             .when(n_top == 1, "green")
@@ -112,29 +116,112 @@ def score_summary(scores) -> Column:
         )
         return F.struct(
             tier.alias("tier"),
-            n_top.alias("n_top"),
+            n_top.cast("int").alias("n_top"),
             top.alias("top_score"),
-            median_other.alias("median_other"),
-            median_of(s).alias("median_score"),
-            F.size(F.filter(s, lambda x: x == 100)).alias("n_100s"),
+            other.alias("median_other"),
+            median_of_counts(n).alias("median_score"),
+            n[100].cast("int").alias("n_100s"),
         )
 
-    empty = F.struct(
-        F.lit("red").alias("tier"),
-        F.lit(0).alias("n_top"),
-        F.lit(0).alias("top_score"),
-        F.lit(None).cast("double").alias("median_other"),
-        F.lit(None).cast("double").alias("median_score"),
-        F.lit(0).alias("n_100s"),
+    return let(F.struct(*[F.coalesce(counts[v], F.lit(0)).alias(f"n{v}") for v in LEVELS]), build)
+
+
+def score_summary(scores) -> Column:
+    """:func:`summary_of_counts` of an array of scores."""
+
+    def count(s, level):
+        return F.size(F.filter(s, lambda x: x == level))
+
+    some = F.coalesce(scores, F.array().cast("array<int>"))
+    return let(some, lambda s: summary_of_counts({v: count(s, v) for v in LEVELS}))
+
+
+@dataclass
+class Scores:
+    """Scores of tie sets against records, without a list in any cell.
+
+    ``members`` has each distinct model of a tie set once (tie_id, model, place, g, s). ``hits``
+    has one row for each record, tie set, genus and epithet whose score may exceed 20 (n models,
+    the best of them); all other members have 20, or 0 without genus and species. ``pairs`` sums up
+    each (rec_id, tie_id).
+    """
+
+    members: DataFrame
+    hits: DataFrame
+    pairs: DataFrame
+
+
+def score_ties(pairs: DataFrame, ties: DataFrame, pools: DataFrame) -> Scores:
+    """Score the members of ``ties`` (tie_id, place, model) for distinct ``pairs`` (rec_id, tie_id).
+
+    Models of one genus and epithet are counted once for each tie set, and only those whose genus is
+    one of the record's meet the record; what remains of a tie set is known from its totals.
+    """
+    distinct = ties.groupBy("tie_id", "model").agg(F.min("place").alias("place"))
+    members = cut_lineage(
+        distinct.withColumn("pair", model_pair(F.col("model"))).select(
+            "tie_id", "model", "place", F.col("pair.g").alias("g"), F.col("pair.s").alias("s")
+        )
     )
-    return let(
-        F.sort_array(F.coalesce(scores, F.array().cast("array<int>"))),
-        lambda s: F.when(F.size(s) > 0, build(s)).otherwise(empty),
+    order = F.struct(F.char_length("model").alias("length"), "place", "model")
+    groups = cut_lineage(
+        members.groupBy("tie_id", "g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"))
+    )
+    has = F.col("g").isNotNull()
+    totals = groups.groupBy("tie_id").agg(
+        F.sum("n").alias("n_all"),
+        F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("n_named"),
+        F.min(F.when(has, F.col("best"))).alias("best_named"),
+        F.min(F.when(~has, F.col("best"))).alias("best_other"),
+    )
+    record = ["genera_one", "epithets_one", "names_canon", "sp_heads", "genera_canon", "canonical_is_sp"]
+    met = pairs.join(pools.select("rec_id", "heads", *record), "rec_id").select(
+        "rec_id", "tie_id", *record, F.explode("heads").alias("g")
     )
+    hits = (
+        met.join(groups, ["tie_id", "g"])
+        .select("rec_id", "tie_id", "g", "s", "n", "best", pair_score(F.col("g"), F.col("s")).alias("score"))
+        .where("score > 20")
+    )
+    at = {v: F.coalesce(F.sum(F.when(F.col("score") == v, F.col("n"))), F.lit(0)).alias(f"n{v}") for v in LEVELS[2:]}
+    first = F.struct((-F.col("score")).alias("neg"), "best")
+    counted = hits.groupBy("rec_id", "tie_id").agg(*at.values(), F.min(first).alias("first"))
+    known = {v: F.coalesce(f"n{v}", F.lit(0)) for v in LEVELS[2:]}
+    n_hits = sum(known.values(), F.lit(0))
+    best = F.coalesce("first.best.model", "best_named.model", "best_other.model")
+    top = F.coalesce(-F.col("first.neg"), F.when(F.col("n_named") > 0, 20), F.lit(0))
+    counts = {0: F.col("n_all") - F.col("n_named"), 20: F.col("n_named") - n_hits, **known}
+    summed = pairs.join(totals, "tie_id").join(counted, ["rec_id", "tie_id"], "left").select(
+        "rec_id", "tie_id", F.col("n_all").cast("int").alias("n_ranked"),
+        best.alias("best_model"), reason_of(top).alias("best_reason"), summary_of_counts(counts).alias("_sum"),
+    )
+    return Scores(members, hits, summed)
 
 
-def match_level(name, model, canonical_gs, aliases) -> Column:
-    """``full_exact``, ``gs_exact`` or ``none`` for a name and a model identifier."""
+def ranked_texts(pairs: DataFrame, scores: Scores) -> DataFrame:
+    """``ranked_candidates`` of each pair as text, for files: ``model@@score@@reason`` joined by ``;``.
+
+    Best first, then shorter, then as given.
+    """
+    rest = F.when(F.col("g").isNull(), 0).otherwise(20)
+    rows = pairs.join(scores.members, "tie_id").join(
+        scores.hits.select("rec_id", "tie_id", "g", "s", "score"), ["rec_id", "tie_id", "g", "s"], "left"
+    ).withColumn("score", F.coalesce("score", rest))
+    item = F.concat_ws("@@", "model", F.col("score").cast("string"), reason_of(F.col("score")))
+    ranked = F.struct((-F.col("score")).alias("neg"), F.char_length("model").alias("length"), "place", item.alias("item"))
+    return rows.groupBy("rec_id", "tie_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(ranked)), lambda r: r["item"]), ";").alias("ranked_candidates")
+    )
+
+
+def match_level(name, model, canonical_gs, aliases, genera=None, epithets=None) -> Column:
+    """``full_exact``, ``gs_exact`` or ``none`` for a name and a model identifier.
+
+    Each of ``epithets`` under each of ``genera`` counts as an alias, too.
+    """
+    none = F.array().cast(NAMES)
+    genera = F.coalesce(genera, none) if genera is not None else none
+    epithets = F.coalesce(epithets, none) if epithets is not None else none
 
     def compare(x):
         own = F.struct(F.get(x["c"], F.lit(0)).alias("g"), F.get(x["c"], F.lit(1)).alias("s"))
@@ -152,10 +239,23 @@ def match_level(name, model, canonical_gs, aliases) -> Column:
             lambda p: F.get(x["m"], F.lit(0)).eqNullSafe(p["g"])
             & F.get(x["m"], F.lit(1)).eqNullSafe(p["s"]),
         )
+        # genus, epithet and tail make up the identifier: what lies between is looked for
+        end = F.when(F.size(tail) > 0, F.concat(F.lit("_"), F.array_join(tail, "_"))).otherwise("")
+
+        def moved(g):
+            room = F.char_length(x["id"]) - F.char_length(g) - F.char_length(end) - 1
+            inner = F.substring(x["id"], F.char_length(g) + 2, F.greatest(room, F.lit(0)))
+            return (
+                (g != "") & (room > 0) & F.array_contains(epithets, inner)
+                & (F.concat(g, F.lit("_"), inner, end) == x["id"])
+            )
+
+        m0, m1 = F.get(x["m"], F.lit(0)), F.get(x["m"], F.lit(1))
+        moved_pair = F.array_contains(genera, m0) & F.array_contains(epithets, m1) & (m0 != "") & (m1 != "")
         return (
             F.when((F.size(x["n"]) < 2) | (F.size(x["c"]) < 2), "none")
-            .when(full, "full_exact")
-            .when(pair, "gs_exact")
+            .when(full | F.exists(genera, moved), "full_exact")
+            .when(pair | F.coalesce(moved_pair, F.lit(False)), "gs_exact")
             .otherwise("none")
         )
 
@@ -244,10 +344,11 @@ def reclassify(scored: DataFrame) -> DataFrame:
     """Add the final colour and its grounds to scored rows."""
     core = model_core(F.col("suggested_gem"))
     gs = F.coalesce(F.col("canonical_gs"), F.lit(""))
+    moved = [F.col(c) if c in scored.columns else None for c in ("alias_genera", "alias_epithets")]
     first = first_verdict(
         F.col("taxon"),
         core,
-        match_level(F.col("taxon"), core, gs, F.col("gs_aliases")),
+        match_level(F.col("taxon"), core, gs, F.col("gs_aliases"), *moved),
         elevated(F.col("taxon"), core),
         F.col("confidence"),
         F.col("n_top_ties"),
@@ -258,59 +359,65 @@ def reclassify(scored: DataFrame) -> DataFrame:
     )
     out = scored.withColumn("_first", first).withColumn("_final", final).select("*", "_final.*")
     lost = F.col("is_not_found")
-    return out.drop("_first", "_final").withColumns(
-        {
-            "suggested_gem": F.when(lost, "no_suggestion").otherwise(F.col("suggested_gem")),
-            "ranked_candidates": F.when(lost, "no candidates").otherwise(F.col("ranked_candidates")),
-            "final_band": F.col("final_color"),
-        }
-    )
+    changes = {
+        "suggested_gem": F.when(lost, "no_suggestion").otherwise(F.col("suggested_gem")),
+        "final_band": F.col("final_color"),
+    }
+    if "ranked_candidates" in scored.columns:
+        changes["ranked_candidates"] = F.when(lost, "no candidates").otherwise(F.col("ranked_candidates"))
+    return out.drop("_first", "_final").withColumns(changes)
 
 
-def ranked_text(ranked) -> Column:
-    """``model@@score@@reason`` items joined by ``;``."""
-    items = F.transform(
-        ranked,
-        lambda c: F.concat_ws("@@", c["model"], c["score"].cast("string"), c["reason"]),
+def listed_ties(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a ``tie_id`` for their list of candidates, and the members of each distinct list."""
+    mat = F.col("mat") if "mat" in rows.columns else F.lit(None).cast("string")
+    listed = rows.withColumn("_cands", candidates_or_match(F.col("mat_candidates_str"), mat)).withColumns(
+        {"tie_id": F.sha2(F.array_join("_cands", "\u0001"), 256), "n_listed": F.size("_cands")}
+    )
+    ties = listed.groupBy("tie_id").agg(F.first("_cands").alias("_cands")).select(
+        "tie_id", F.posexplode("_cands").alias("place", "model")
     )
-    return F.coalesce(F.array_join(items, ";"), F.lit(""))
+    return listed.drop("_cands"), ties
 
 
-def score_names(rows: DataFrame, pools: DataFrame, keys: DataFrame) -> DataFrame:
-    """Look up every row, score its candidates and summarise the scores."""
+TEXT_COLUMNS = ["ranked_candidates", "synonyms", "gs_aliases"]
+
+
+def score_names(
+    rows: DataFrame, pools: DataFrame, keys: DataFrame, ties: DataFrame | None = None, text: bool = True
+) -> DataFrame:
+    """Look up every row, score its candidates and summarise the scores.
+
+    Candidates are the members of the row's ``tie_id`` in ``ties`` (tie_id, place, model);
+    without ``ties`` they are read from ``mat_candidates_str``. With ``text`` the columns
+    that only files show are written out; without it the rows keep ``rec_id`` and ``tie_id``, and
+    their aliases stay factors.
+    """
     base = rows.withColumn("taxon", plain_name(F.col("taxon")))
-    mat = F.col("mat") if "mat" in rows.columns else F.lit(None).cast("string")
-    base = base.withColumn("_cands", candidates_or_match(F.col("mat_candidates_str"), mat))
-    found = find_records(base, keys).join(pools, "rec_id")
-    known = F.col("rec_id").isNotNull()
-    joined = base.drop(*[c for c in RESCUE_COLUMNS if c in base.columns]).join(
-        found, "taxon", "left"
-    )
-    ranked = F.when(
-        known,
-        ranked_candidates(
-            F.col("_cands"),
-            F.col("pool_canon"),
-            F.col("pool_sp"),
-            F.col("genera_canon"),
-            F.col("canonical_is_sp"),
-        ),
+    if ties is None:
+        base, ties = listed_ties(base)
+    else:
+        base = base.withColumn("n_listed", F.col("n_candidates"))
+    pools = cut_lineage(pools)
+    own = base.drop(*[c for c in [*RESCUE_COLUMNS, "rec_id"] if c in base.columns])
+    located = cut_lineage(own.join(find_records(base, keys), "taxon", "left"))
+    pairs = located.where("rec_id is not null").select("rec_id", "tie_id").distinct()
+    scores = score_ties(pairs, ties, pools)
+    record = pools.select(
+        "rec_id", "canonical", "rank", "taxid", "lineage_genera", "pool_names", "pool_genera", "pool_epithets"
     )
-    summed = joined.withColumn("ranked", ranked).withColumn(
-        "_sum", score_summary(F.transform("ranked", lambda c: c["score"]))
-    )
-    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("canonical", "rank")}
-    best = F.get(F.col("ranked"), F.lit(0))
-    rationale = F.when(~known, V.NO_RECORD).otherwise(F.coalesce(best["reason"], F.lit(V.NO_CANDIDATE)))
-    out = summed.withColumns(
+    joined = located.join(scores.pairs, ["rec_id", "tie_id"], "left").join(record, "rec_id", "left")
+    known = F.col("rec_id").isNotNull()
+    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("canonical", "rank")}
+    rationale = F.when(~known, V.NO_RECORD).otherwise(F.coalesce("best_reason", F.lit(V.NO_CANDIDATE)))
+    nothing = F.array().cast(NAMES)
+    missing = summary_of_counts({v: F.lit(0) for v in LEVELS})
+    out = joined.withColumn("_sum", F.coalesce("_sum", missing)).withColumns(
         {
-            **text,
-            "suggested_gem": F.coalesce(best["model"], F.lit("")),
+            **blank,
+            "suggested_gem": F.coalesce("best_model", F.lit("")),
             "lineage_genera": F.coalesce(F.array_join("lineage_genera", "|"), F.lit("")),
-            "synonyms": F.coalesce(F.array_join("pool", "|"), F.lit("")),
-            "gs_aliases": genus_species_pairs(F.coalesce("pool", F.array().cast(NAMES))),
-            "n_candidates": F.when(known, F.size("ranked")).otherwise(F.size("_cands")),
-            "ranked_candidates": ranked_text(F.col("ranked")),
+            "n_candidates": F.when(known, F.coalesce("n_ranked", F.lit(0))).otherwise(F.col("n_listed")),
             "ncbi_taxid": F.coalesce("taxid", F.lit("")),
             "confidence": F.col("_sum.tier"),
             "tier": F.col("_sum.tier"),
@@ -319,10 +426,32 @@ def score_names(rows: DataFrame, pools: DataFrame, keys: DataFrame) -> DataFrame
             "rationale_scoring": rationale,
             "n_100s": F.col("_sum.n_100s"),
             "median_score": F.col("_sum.median_score"),
+            "pool_names": F.coalesce("pool_names", nothing),
         }
     ).withColumn("canonical_gs", genus_species(F.col("canonical")))
     kept = [c for c in rows.columns if c not in RESCUE_COLUMNS]
-    return out.select(*kept, *RESCUE_COLUMNS)
+    if text:
+        texts = ranked_texts(pairs, scores)
+        out = out.join(texts, ["rec_id", "tie_id"], "left").withColumns(
+            {
+                "ranked_candidates": F.coalesce("ranked_candidates", F.lit("")),
+                "synonyms": F.coalesce(F.array_join(expanded_pool(), "|"), F.lit("")),
+                "gs_aliases": F.coalesce(expanded_aliases(), genus_species_pairs(nothing)),
+            }
+        )
+        return out.select(*kept, *RESCUE_COLUMNS)
+    lower = lambda names: F.transform(names, F.lower)
+    factors = {
+        "gs_aliases": genus_species_pairs("pool_names"),
+        "alias_genera": F.coalesce(lower("pool_genera"), nothing),
+        "alias_epithets": F.coalesce(
+            F.transform(lower("pool_epithets"), lambda e: F.rtrim(e, F.lit("."))), nothing
+        ),
+    }
+    out = out.withColumns(factors)
+    kept = [c for c in kept if c not in ("rec_id", "tie_id")]
+    columns = [c for c in RESCUE_COLUMNS if c not in TEXT_COLUMNS]
+    return out.select(*kept, "rec_id", "tie_id", *columns, *factors)
 
 
 RESCUE_COLUMNS = [
@@ -332,6 +461,7 @@ RESCUE_COLUMNS = [
 ]
 
 
-def rescue(rows: DataFrame, lookup: Lookup) -> DataFrame:
-    """Rescue rows with ``taxon`` and ``mat_candidates_str``; other columns are kept."""
-    return reclassify(score_names(rows, record_pools(lookup), lookup.keys))
+def rescue(rows: DataFrame, lookup: Lookup, ties: DataFrame | None = None, text: bool = True) -> DataFrame:
+    """Rescue rows with ``taxon`` and candidates as :func:`score_names` reads them; other columns are kept."""
+    scored = reclassify(score_names(rows, record_pools(lookup), lookup.keys, ties, text))
+    return scored if text else scored.drop("gs_aliases", "alias_genera", "alias_epithets")

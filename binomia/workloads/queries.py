@@ -385,7 +385,7 @@ def record_pools(spark, folder):
         "rec_id", "canonical", "rank", "genus", "species_epithet",
         joined("lineage_genera").alias("genera"),
         joined("synonyms").alias("synonyms"),
-        joined("pool").alias("pool"),
+        joined(lookup.expanded_pool()).alias("pool"),
     )
 
 
@@ -436,12 +436,14 @@ def rescue_names(spark, folder):
 
 @query
 def score_summaries(spark, folder):
-    """Confidence from arrays of scores gathered per customer."""
+    """Confidence from the number of orders at each score, per customer."""
     orders = table(spark, folder, "orders")
     levels = F.array(*[F.lit(v) for v in (0, 20, 60, 70, 75, 100)])
     score = F.get(levels, (F.col("o_orderkey") % 6).cast("int"))
-    grouped = orders.groupBy("o_custkey").agg(F.collect_list(score).alias("scores"))
-    summary = grouped.select("o_custkey", rescue.score_summary(F.col("scores")).alias("s"))
+    counts = [F.count_if(score == v).alias(f"n{v}") for v in rescue.LEVELS]
+    grouped = orders.groupBy("o_custkey").agg(*counts)
+    of_level = {v: F.col(f"n{v}") for v in rescue.LEVELS}
+    summary = grouped.select("o_custkey", rescue.summary_of_counts(of_level).alias("s"))
     return summary.select(
         "o_custkey",
         "s.tier",

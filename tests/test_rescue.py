@@ -49,9 +49,14 @@ def test_scores_by_pool(spark):
 
     def scores(pool, genera, is_sp):
         a = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-        sp = [p for p in pool if " sp" in p]
-        col = rescue.score_model(F.col("m"), a(pool), a(sp), a(genera), F.lit(is_sp))
-        return [r[0] for r in df.select(col).collect()]
+        record = {
+            "names_canon": a(pool), "genera_one": a([]), "epithets_one": a([]), "genera_canon": a(genera),
+            "sp_heads": a([p.split()[0] for p in pool if " sp" in p]), "canonical_is_sp": F.lit(is_sp),
+        }
+        pair = rescue.model_pair(F.col("m"))
+        rows = df.withColumns(record).withColumn("p", pair)
+        score = F.when(F.col("p").isNull(), 0).otherwise(rescue.pair_score(F.col("p.g"), F.col("p.s")))
+        return [r[0] for r in rows.select(score).collect()]
 
     assert scores(["foo bar", "foo sp"], ["foo"], False) == [100, 75, 60, 20, 0, 0]
     assert scores(["foo sp"], ["foo"], True) == [70, 75, 70, 20, 0, 0]
