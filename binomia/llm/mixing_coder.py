@@ -31,9 +31,8 @@ _FIRST, _LATEST = 16, 512
 _OF_STEPS = (1 << _PARTS) // (2 * np.arange(1024) + 4)
 _OF_LATE = (1 << 20) // np.maximum(np.arange(BLOCK_IDS + 2), 1)
 _OF_WEIGHTS = (1 << 38) // np.maximum(np.arange(2 * BLOCK_IDS + 3), 1)
-#: What a miss (first eight) or a hit changes in a run of successes, and after which a new rank is entered.
-_CHANGE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 0, 1, 1, 1, 1, 1, 1, 0], np.int64)
-_FRESH = np.array([True, True] + [False] * 6 + [True] + [False] * 7)
+#: What a miss (first eight) or a hit changes in a run of successes; after a miss at 0 or 1 the rank is entered anew.
+_CHANGE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int64)
 _LOW32, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -94,7 +93,7 @@ class _Models:
         self.counts = new
 
     def foretell(self) -> None:
-        self.at_two = self.in_two + ((self.last * 40503 + self.before * 30011 + 77) & ((1 << _CONTEXT_BITS) - 1))
+        self.at_two = self.in_two + ((self.last * 1237 + self.before) & ((1 << _CONTEXT_BITS) - 1))
         self.at_one = self.in_one + self.last
         self.entry2 = self.two.take(self.at_two).astype(np.int64)
         self.entry1 = self.one.take(self.at_one).astype(np.int64)
@@ -124,17 +123,25 @@ class _Models:
     def find(self, place: np.ndarray) -> np.ndarray:
         """The rank whose interval holds a place. Numbers below 2^25 divide exactly as doubles."""
         low, high = np.minimum(self.guess1, self.guess2), np.maximum(self.guess1, self.guess2)
-        same = low == high
-        add_low = np.where(same, self.trust1 + self.trust2, np.where(self.guess2 == low, self.trust2, self.trust1))
-        add_high = np.where(same, 0, self.trust1 + self.trust2 - add_low)
-        after_low, after_high = self.below(low + 1), self.below(high + 1)
-        is_low = (place >= self.below(low)) & (place < after_low + add_low)
-        rest = np.where(place >= after_low + add_low, place - add_low, place)
-        is_high = (rest >= self.below(high)) & (rest < after_high + add_high) & ~is_low
-        rest = np.where((rest >= after_high + add_high) & ~is_low, rest - add_high, rest)
-        held = self.inverse.take(self.in_inverse + (rest / self.unit).astype(np.int64), mode="clip").astype(np.int64)
-        late = np.minimum(self.known + ((rest - self.base) / self.share).astype(np.int64), self.seen)
-        return np.where(is_low, low, np.where(is_high, high, np.where(rest < self.base, held, late)))
+        both = self.trust1 + self.trust2
+        add_low = np.where(self.guess2 == low, self.trust2, self.trust1)
+        np.copyto(add_low, both, where=low == high)
+        end_low = self.below(low + 1) + add_low
+        # places behind the lesser guess, then behind the greater one, are those of the frequencies
+        rest = place - add_low * (place >= end_low)
+        end_high = self.below(high + 1)
+        add_high = both - add_low
+        behind = rest >= end_high + add_high
+        is_high = (rest >= self.below(high)) & ~behind
+        rest = rest - add_high * behind
+        rank = self.inverse.take(self.in_inverse + (rest / self.unit).astype(np.int64), mode="clip").astype(np.int64)
+        late = np.flatnonzero(rest >= self.base)
+        if len(late):
+            more = ((rest[late] - self.base[late]) / self.share[late]).astype(np.int64)
+            rank[late] = np.minimum(self.known[late] + more, self.seen[late])
+        np.copyto(rank, high, where=is_high)
+        np.copyto(rank, low, where=(place >= self.below(low)) & (place < end_low))
+        return rank
 
     def learn(self, rank: np.ndarray) -> None:
         right2 = self.guess2 == rank
@@ -151,19 +158,31 @@ class _Models:
         ):
             code = run + 8 * right
             entry = entry + _CHANGE.take(code)
-            np.copyto(entry, fresh, where=_FRESH.take(code))
+            np.copyto(entry, fresh, where=code <= 1)
             table[at] = entry
         self.seen = np.maximum(self.seen, rank + 1)
         self.before, self.last = self.last, rank
 
 
-def _ranks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Ranks:
     """Ranks of a block's ids by first appearance, and the id of each rank."""
-    distinct, first, back = np.unique(ids, return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[back], distinct[order]
+
+    def __init__(self, largest: int):
+        # a table over all ids where they are small enough, else sorting
+        self.table = np.zeros(largest + 1, np.int64) if largest < 1 << 20 else None
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is None:
+            distinct, first, back = np.unique(ids, return_index=True, return_inverse=True)
+            order = np.argsort(first)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            return rank[back], distinct[order]
+        place = np.arange(len(ids))
+        self.table[ids[::-1]] = place[::-1]
+        names = ids[self.table[ids] == place]
+        self.table[names] = np.arange(len(names))
+        return self.table[ids], names
 
 
 def encode_group(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[tuple[int, bytes]]:
@@ -171,9 +190,9 @@ def encode_group(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[tuple[int,
     lanes = -(-len(ids) // block_ids)
     last_size = len(ids) - (lanes - 1) * block_ids
     ranks = np.zeros((lanes, block_ids), np.uint16)
-    lists = []
+    lists, ranks_of = [], _Ranks(int(ids.max(initial=0)))
     for k in range(lanes):
-        part, names = _ranks(ids[k * block_ids : (k + 1) * block_ids])
+        part, names = ranks_of(ids[k * block_ids : (k + 1) * block_ids])
         ranks[k, : len(part)] = part
         lists.append(names.astype("<u4"))
     ranks = np.ascontiguousarray(ranks.T)
