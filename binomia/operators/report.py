@@ -53,12 +53,35 @@ def report_candidates(text, mat, suggested, j_score) -> Column:
     )
 
 
+def candidate_rows(final: DataFrame, ties: DataFrame) -> DataFrame:
+    """Report candidates as rows: ``pos, place, model_id, score, reason``.
+
+    Tie sets are joined, not copied into the rows; only the winner's score differs from 0.5.
+    """
+    winner = first_filled(_column(final, "suggested_gem"), _column(final, "mat"))
+    own = F.when(F.coalesce("j_score", F.lit(0.0)) == 0, F.lit(0.5)).otherwise(F.col("j_score"))
+    rows = final.select("pos", "tie_id", winner.alias("winner"), round_exact(own, 2).alias("own"))
+    return rows.join(ties, "tie_id").select(
+        "pos",
+        "place",
+        F.col("model").alias("model_id"),
+        F.when(F.col("model").eqNullSafe(F.col("winner")), F.col("own")).otherwise(F.lit(0.5)).alias("score"),
+        F.lit("Jaccard Similarity").alias("reason"),
+    )
+
+
 def report_items(final: DataFrame) -> DataFrame:
-    """One report item per row of the final mapping; ordering columns are kept."""
+    """One report item per row of the final mapping; ordering columns are kept.
+
+    Candidates are listed where the rows carry them as text; else see :func:`candidate_rows`.
+    """
     j = F.coalesce(_column(final, "j_score", "double"), F.lit(0.0))
     mat, gem = _column(final, "mat"), _column(final, "suggested_gem")
     state = status_and_confidence(_column(final, "final_band"), _column(final, "bands"), j)
     abundance = _column(final, "abundance", "double")
+    listed = []
+    if "mat_candidates_str" in final.columns:
+        listed = [report_candidates(F.col("mat_candidates_str"), mat, gem, j).alias("candidates")]
     order = [c for c in ("group_pos", "has_code_or_cc", "j_score", "n_candidates", "pos") if c in final.columns]
     return final.withColumn("_state", state).select(
         *order,
@@ -67,7 +90,7 @@ def report_items(final: DataFrame) -> DataFrame:
         F.coalesce(first_filled(gem, mat), F.lit("")).alias("mapped_id"),
         F.col("_state.status").alias("status"),
         round_exact(F.col("_state.confidence"), 4).alias("confidence_score"),
-        report_candidates(_column(final, "mat_candidates_str"), mat, gem, j).alias("candidates"),
+        *listed,
     )
 
 

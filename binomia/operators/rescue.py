@@ -383,15 +383,38 @@ def listed_ties(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 TEXT_COLUMNS = ["ranked_candidates", "synonyms", "gs_aliases"]
 
 
-def score_names(
-    rows: DataFrame, pools: DataFrame, keys: DataFrame, ties: DataFrame | None = None, text: bool = True
-) -> DataFrame:
+@dataclass
+class Rescued:
+    """Rescued rows without lists in cells, and what their texts are made from."""
+
+    rows: DataFrame
+    pairs: DataFrame
+    scores: Scores
+    pools: DataFrame
+
+    def with_texts(self) -> DataFrame:
+        """The rows with the columns that only files show."""
+        pool = self.pools.select("rec_id", "pool_names", "pool_genera", "pool_epithets")
+        rows = self.rows.drop("gs_aliases", "alias_genera", "alias_epithets")
+        texts = ranked_texts(self.pairs, self.scores)
+        ranked = F.coalesce("ranked_candidates", F.lit(""))
+        if "is_not_found" in rows.columns:
+            ranked = F.when(F.col("is_not_found"), "no candidates").otherwise(ranked)
+        return rows.join(texts, ["rec_id", "tie_id"], "left").join(pool, "rec_id", "left").withColumns(
+            {
+                "ranked_candidates": ranked,
+                "synonyms": F.coalesce(F.array_join(expanded_pool(), "|"), F.lit("")),
+                "gs_aliases": F.coalesce(expanded_aliases(), genus_species_pairs(F.array().cast(NAMES))),
+            }
+        ).drop("rec_id", "tie_id", "pool_names", "pool_genera", "pool_epithets")
+
+
+def score_rows(rows: DataFrame, pools: DataFrame, keys: DataFrame, ties: DataFrame | None = None) -> Rescued:
     """Look up every row, score its candidates and summarise the scores.
 
     Candidates are the members of the row's ``tie_id`` in ``ties`` (tie_id, place, model);
-    without ``ties`` they are read from ``mat_candidates_str``. With ``text`` the columns
-    that only files show are written out; without it the rows keep ``rec_id`` and ``tie_id``, and
-    their aliases stay factors.
+    without ``ties`` they are read from ``mat_candidates_str``. The rows get ``rec_id``; their
+    aliases stay factors.
     """
     base = rows.withColumn("taxon", plain_name(F.col("taxon")))
     if ties is None:
@@ -408,13 +431,14 @@ def score_names(
     )
     joined = located.join(scores.pairs, ["rec_id", "tie_id"], "left").join(record, "rec_id", "left")
     known = F.col("rec_id").isNotNull()
-    blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("canonical", "rank")}
     rationale = F.when(~known, V.NO_RECORD).otherwise(F.coalesce("best_reason", F.lit(V.NO_CANDIDATE)))
     nothing = F.array().cast(NAMES)
     missing = summary_of_counts({v: F.lit(0) for v in LEVELS})
+    lower = lambda names: F.transform(F.coalesce(names, nothing), F.lower)
     out = joined.withColumn("_sum", F.coalesce("_sum", missing)).withColumns(
         {
-            **blank,
+            "canonical": F.coalesce("canonical", F.lit("")),
+            "rank": F.coalesce("rank", F.lit("")),
             "suggested_gem": F.coalesce("best_model", F.lit("")),
             "lineage_genera": F.coalesce(F.array_join("lineage_genera", "|"), F.lit("")),
             "n_candidates": F.when(known, F.coalesce("n_ranked", F.lit(0))).otherwise(F.col("n_listed")),
@@ -426,32 +450,21 @@ def score_names(
             "rationale_scoring": rationale,
             "n_100s": F.col("_sum.n_100s"),
             "median_score": F.col("_sum.median_score"),
-            "pool_names": F.coalesce("pool_names", nothing),
+            "gs_aliases": genus_species_pairs(F.coalesce("pool_names", nothing)),
+            "alias_genera": lower("pool_genera"),
+            "alias_epithets": F.transform(lower("pool_epithets"), lambda e: F.rtrim(e, F.lit("."))),
         }
     ).withColumn("canonical_gs", genus_species(F.col("canonical")))
-    kept = [c for c in rows.columns if c not in RESCUE_COLUMNS]
-    if text:
-        texts = ranked_texts(pairs, scores)
-        out = out.join(texts, ["rec_id", "tie_id"], "left").withColumns(
-            {
-                "ranked_candidates": F.coalesce("ranked_candidates", F.lit("")),
-                "synonyms": F.coalesce(F.array_join(expanded_pool(), "|"), F.lit("")),
-                "gs_aliases": F.coalesce(expanded_aliases(), genus_species_pairs(nothing)),
-            }
-        )
-        return out.select(*kept, *RESCUE_COLUMNS)
-    lower = lambda names: F.transform(names, F.lower)
-    factors = {
-        "gs_aliases": genus_species_pairs("pool_names"),
-        "alias_genera": F.coalesce(lower("pool_genera"), nothing),
-        "alias_epithets": F.coalesce(
-            F.transform(lower("pool_epithets"), lambda e: F.rtrim(e, F.lit("."))), nothing
-        ),
-    }
-    out = out.withColumns(factors)
-    kept = [c for c in kept if c not in ("rec_id", "tie_id")]
+    kept = [c for c in rows.columns if c not in RESCUE_COLUMNS and c not in ("rec_id", "tie_id")]
     columns = [c for c in RESCUE_COLUMNS if c not in TEXT_COLUMNS]
-    return out.select(*kept, "rec_id", "tie_id", *columns, *factors)
+    factors = ["gs_aliases", "alias_genera", "alias_epithets"]
+    return Rescued(out.select(*kept, "rec_id", "tie_id", *columns, *factors), pairs, scores, pools)
+
+
+def score_names(rows: DataFrame, pools: DataFrame, keys: DataFrame) -> DataFrame:
+    """Scored rows with all texts, from rows with ``mat_candidates_str``."""
+    kept = [c for c in rows.columns if c not in RESCUE_COLUMNS]
+    return score_rows(rows, pools, keys).with_texts().select(*kept, *RESCUE_COLUMNS)
 
 
 RESCUE_COLUMNS = [
@@ -461,7 +474,13 @@ RESCUE_COLUMNS = [
 ]
 
 
-def rescue(rows: DataFrame, lookup: Lookup, ties: DataFrame | None = None, text: bool = True) -> DataFrame:
-    """Rescue rows with ``taxon`` and candidates as :func:`score_names` reads them; other columns are kept."""
-    scored = reclassify(score_names(rows, record_pools(lookup), lookup.keys, ties, text))
-    return scored if text else scored.drop("gs_aliases", "alias_genera", "alias_epithets")
+def rescue_ties(rows: DataFrame, lookup: Lookup, ties: DataFrame | None = None) -> Rescued:
+    """Rescue rows with ``taxon`` and candidates as :func:`score_rows` reads them; other columns are kept."""
+    found = score_rows(rows, record_pools(lookup), lookup.keys, ties)
+    final = reclassify(found.rows).drop("gs_aliases", "alias_genera", "alias_epithets")
+    return Rescued(cut_lineage(final), found.pairs, found.scores, found.pools)
+
+
+def rescue(rows: DataFrame, lookup: Lookup) -> DataFrame:
+    """Rescued rows with all texts, from rows with ``mat_candidates_str``."""
+    return rescue_ties(rows, lookup).with_texts()

@@ -1,9 +1,10 @@
 """Compile a taxonomy dump into lookup keys and records.
 
-Ancestor paths are found by pointer doubling: after round ``r`` every node knows its
-next ``2**r`` ancestors, so depth ``d`` takes about ``log2(d)`` equi-joins. Names and
-ranks travel inside the path; assembling a lineage needs no join with the few top
-nodes that sit in everybody's lineage.
+Most nodes have no children. Only those that have some climb: after round ``r`` of pointer
+doubling each knows its next ``2**r`` ancestors, so depth ``d`` takes about ``log2(d)``
+equi-joins of that small part. Names and ranks travel inside the path. The scope is decided
+on this part; all other nodes take the path of their parent in one join, and outside
+of the scope they never get one.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -70,39 +71,77 @@ def group_merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("taxid").agg(F.transform(listed, lambda x: x["old"]).alias("merged"))
 
 
-def ancestry(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Add ``path``: the ancestors of each node, parent first, up to the top.
+def _climbs() -> Column:
+    return (F.col("parent") != F.col("taxid")) & (F.col("parent") != "")
 
-    The path ends at a node that is its own parent or whose parent is no node.
-    ``names`` supplies ``taxid, scientific_name`` for the path entries. Raises
-    ``ValueError`` on a cycle.
-    """
-    if names is None:
-        named = nodes.withColumn("scientific_name", F.lit(None).cast("string"))
-    else:
-        named = nodes.join(names.select("taxid", "scientific_name"), "taxid", "left")
-    named = cut_lineage(named)
-    step = F.struct(
+
+def _step() -> Column:
+    return F.struct(
         F.col("taxid").alias("TaxId"),
         F.coalesce("scientific_name", F.lit("")).alias("ScientificName"),
         F.col("rank").alias("Rank"),
     )
-    parents = named.select(F.col("taxid").alias("next"), F.array(step).alias("path"))
-    climbs = (F.col("parent") != F.col("taxid")) & (F.col("parent") != "")
-    own = named.withColumn("next", F.when(climbs, F.col("parent"))).drop("scientific_name")
+
+
+def inner_paths(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``taxid, step, path`` of the nodes that have children: own entry and ancestors, parent first.
+
+    A path ends at a node that is its own parent or whose parent is no node. ``names``
+    supplies ``taxid, scientific_name`` for the entries. Raises ``ValueError`` on a cycle.
+    """
+    parents = nodes.where(_climbs()).select(F.col("parent").alias("taxid")).distinct()
+    inner = nodes.join(parents, "taxid", "left_semi")
+    if names is None:
+        named = inner.withColumn("scientific_name", F.lit(None).cast("string"))
+    else:
+        named = inner.join(names.select("taxid", "scientific_name"), "taxid", "left")
+    own = cut_lineage(
+        named.select("taxid", _step().alias("step"), F.when(_climbs(), F.col("parent")).alias("next"))
+    )
+    above = own.select(F.col("taxid").alias("next"), F.array("step").alias("path"))
     none = F.array().cast(f"array<{_STEP}>")
     # a parent that is no node ends the path
-    started = own.join(parents, "next", "left").select(
-        *nodes.columns,
-        F.coalesce("path", none).alias("path"),
-        F.when(F.col("path").isNotNull(), F.col("next")).alias("next"),
+    paths = cut_lineage(
+        own.join(above, "next", "left").select(
+            "taxid",
+            "step",
+            F.coalesce("path", none).alias("path"),
+            F.when(F.col("path").isNotNull(), F.col("next")).alias("next"),
+        )
     )
-    paths = cut_lineage(started)
     while _unfinished(paths):
         paths = cut_lineage(_double(paths))
     return paths.drop("next")
 
 
+def _line() -> Column:
+    """Path of a node from its parent's entry and path, empty without a parent."""
+    none = F.array().cast(f"array<{_STEP}>")
+    return F.when(F.col("step").isNotNull(), F.concat(F.array("step"), "path")).otherwise(none)
+
+
+def _below(nodes: DataFrame, inner: DataFrame, how: str) -> DataFrame:
+    """Nodes with the path of their parent in front of it."""
+    of_parent = inner.select(F.col("taxid").alias("_parent"), "step", "path")
+    hit = (F.col("parent") == F.col("_parent")) & _climbs()
+    return nodes.join(of_parent, hit, how).select(*nodes.columns, _line().alias("path"))
+
+
+def ancestry(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Add ``path`` to all nodes: the ancestors of each, parent first, up to the top."""
+    return _below(nodes, inner_paths(nodes, names), "left")
+
+
+def scoped(nodes: DataFrame, inner: DataFrame, roots) -> DataFrame:
+    """Nodes that are one of ``roots`` or below one, with their paths."""
+    wanted = F.array(*[F.lit(r) for r in sorted(roots)])
+    own = F.concat(F.array(F.col("step.TaxId")), path_ids())
+    below = _below(nodes, inner.where(F.arrays_overlap(own, wanted)), "inner")
+    # roots that are not below another one
+    tops = _below(nodes.where(F.col("taxid").isin(sorted(roots))), inner, "left")
+    return below.unionByName(tops.where(~F.arrays_overlap(path_ids(), wanted)))
+
+
 def _unfinished(paths: DataFrame) -> bool:
     """True while some path goes on; a node that is its own ancestor is an error."""
     state = paths.where("next is not null").agg(
@@ -136,16 +175,19 @@ def in_scope(tree: DataFrame, roots) -> DataFrame:
     return tree.where(F.arrays_overlap(line, wanted))
 
 
-def ancestors_of_roots(tree: DataFrame, roots) -> DataFrame:
-    """Ids strictly above the roots, with a parent that is no node at the top."""
-    top = F.element_at("path", -1)["TaxId"]
+def ancestors_of_roots(tree: DataFrame, roots, nodes: DataFrame | None = None) -> DataFrame:
+    """Ids strictly above the roots, with a parent that is no node at the top.
+
+    ``tree`` needs the rows of the roots only, if ``nodes`` has all nodes.
+    """
+    top = F.try_element_at("path", F.lit(-1))["TaxId"]
     chain = tree.where(F.col("taxid").isin(sorted(roots))).select(
         path_ids().alias("ids"), F.coalesce(top, F.col("taxid")).alias("last")
     )
     above = (
         chain.select("last")
         .distinct()
-        .join(tree.select(F.col("taxid").alias("last"), "parent"), "last")
+        .join((tree if nodes is None else nodes).select(F.col("taxid").alias("last"), "parent"), "last")
         .where((F.col("parent") != "") & (F.col("parent") != F.col("last")))
         .select(F.col("parent").alias("taxid"))
     )
@@ -195,46 +237,74 @@ def build_records(scope: DataFrame, names: DataFrame, merged: DataFrame) -> Data
     return rows.select("taxid", record.alias("record"))
 
 
+#: Bits of a place in an order, below the priority of a key.
+_PLACE_BITS = 58
+
+
+def id_places(ids: DataFrame) -> DataFrame:
+    """``taxid, as_text, as_number``: the place of each id in two orders, as ascending numbers.
+
+    The second order has whole numbers first, by value. Sorted tables are numbered by partition
+    and row, so no task sees all ids.
+    """
+    number = F.when(F.col("taxid").rlike(r"(?U)^\d+$"), F.col("taxid").try_cast("decimal(38,0)"))
+    texts = ids.select("taxid").orderBy("taxid").select("taxid", F.monotonically_increasing_id().alias("as_text"))
+    numbers = ids.select("taxid", number.alias("number")).orderBy(F.col("number").asc_nulls_last(), "taxid")
+    return texts.join(numbers.select("taxid", F.monotonically_increasing_id().alias("as_number")), "taxid")
+
+
 def lookup_keys(records: DataFrame) -> DataFrame:
     """``key, taxid`` with one id per key.
 
     Scientific names win over alternates, alternates over species keys. Among equals
     the greatest id as text wins for scientific names and merged ids, the smallest as
     text for alternates, and the smallest number for species keys.
+
+    Each claim on a key becomes one number, the priority and then the place of its id in the
+    order that decides; the least one wins in a single hash aggregation, and ids are
+    fetched for the winners.
     """
     r = F.col("record")
-    tax = lambda name: F.concat(F.lit("TAX::"), name)
     name = r["ScientificName"]
-    scientific = records.select(tax(name).alias("key"), "taxid").groupBy("key").agg(
-        F.max("taxid").alias("taxid")
-    )
+    tax = lambda text: F.concat(F.lit("TAX::"), text)
+    places = cut_lineage(id_places(records))
+    last = (1 << _PLACE_BITS) - 1
+
+    def claim(key, priority, place):
+        return F.struct(key.alias("key"), (F.lit(priority << _PLACE_BITS) + place).alias("code"))
+
     others = F.concat(*[r["OtherNames"][c] for c in V.ALTERNATE_CLASSES.values()])
-    alternates = (
-        records.select("taxid", F.explode(F.filter(others, lambda n: n != "")).alias("name"))
-        .groupBy(tax(F.col("name")).alias("key"))
-        .agg(F.min("taxid").alias("taxid"))
+    claims = records.select(
+        "taxid",
+        name.alias("name"),
+        F.filter(others, lambda n: n != "").alias("others"),
+        species_key(name).alias("clean"),
+        ids_key(r["MergedTaxIds"]).alias("ids"),
+    ).join(places, "taxid")
+    differs = (F.col("clean") != F.col("name")) & (F.size(words(F.col("clean"))) >= 2)
+    listed = F.concat(
+        F.array(
+            claim(tax(F.col("name")), 1, F.lit(last) - F.col("as_text")),
+            claim(F.when(differs, tax(F.col("clean"))), 3, F.col("as_number")),
+            claim(F.col("ids"), 1, F.lit(last) - F.col("as_text")),
+        ),
+        F.transform("others", lambda n: claim(tax(n), 2, F.col("as_text"))),
     )
-    number = F.when(F.col("taxid").rlike(r"(?U)^\d+$"), F.col("taxid").try_cast("decimal(38,0)"))
-    order = F.struct(number.isNull().alias("text"), number.alias("number"), F.col("taxid").alias("id"))
-    clean = (
-        records.withColumn("clean", species_key(name))
-        .where((F.col("clean") != name) & (F.size(words(F.col("clean"))) >= 2))
-        .groupBy(tax(F.col("clean")).alias("key"))
-        .agg(F.min_by("taxid", order).alias("taxid"))
+    won = claims.select(F.inline(listed)).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("code").alias("code"))
+    place = F.col("code").bitwiseAND(last)
+    priority = F.shiftright("code", _PLACE_BITS)
+    winners = won.select(
+        "key", (priority == 3).alias("numeric"), F.when(priority == 1, F.lit(last) - place).otherwise(place).alias("place")
     )
-    ranked = (
-        scientific.withColumn("rank", F.lit(1))
-        .unionByName(alternates.withColumn("rank", F.lit(2)))
-        .unionByName(clean.withColumn("rank", F.lit(3)))
-    )
-    tax_keys = ranked.groupBy("key").agg(F.min_by("taxid", "rank").alias("taxid"))
-    merged_keys = (
-        records.withColumn("key", ids_key(r["MergedTaxIds"]))
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.max("taxid").alias("taxid"))
+    ids = places.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(False).alias("numeric"), F.col("as_text").alias("place"), "taxid"),
+                F.struct(F.lit(True).alias("numeric"), F.col("as_number").alias("place"), "taxid"),
+            )
+        )
     )
-    return tax_keys.unionByName(merged_keys)
+    return winners.join(ids, ["numeric", "place"]).select("key", "taxid")
 
 
 def ids_key(ids) -> Column:
@@ -258,9 +328,11 @@ def compile_taxonomy(nodes_fields, names_fields, merged_fields, roots=None):
     The records feed several steps and are written out once.
     """
     roots = sorted(set(roots or V.DEFAULT_CLADES))
-    tree = ancestry(parse_nodes(nodes_fields), scientific_names(names_fields))
-    scope = in_scope(tree, roots)
-    capture = scope.select("taxid").unionByName(ancestors_of_roots(tree, roots)).distinct()
+    nodes = cut_lineage(parse_nodes(nodes_fields))
+    inner = inner_paths(nodes, scientific_names(names_fields))
+    scope = cut_lineage(scoped(nodes, inner, roots))
+    tops = _below(nodes.where(F.col("taxid").isin(roots)), inner, "left")
+    capture = scope.select("taxid").unionByName(ancestors_of_roots(tops, roots, nodes)).distinct()
     records = cut_lineage(
         build_records(scope, parse_names(names_fields, capture), parse_merged(merged_fields, scope))
     )

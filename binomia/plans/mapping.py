@@ -12,9 +12,9 @@ from ..functions.anchors import (
 from ..functions.names import clean_name, has_code
 from ..operators.dedup import most_specific, with_group_position
 from ..operators.lookup import Lookup
-from ..operators.match import match_names
+from ..operators.match import Matches, match_names, with_candidates
 from ..operators.report import report_items
-from ..operators.rescue import rescue
+from ..operators.rescue import Rescued, rescue_ties
 from ..operators.rows import merge_rescued, needs_rescue, with_last_abundance
 from ..session import cut_lineage
 
@@ -27,12 +27,27 @@ MATCH_COLUMNS = [
 
 @dataclass
 class Mapping:
+    """A run as relations: rows name their tie set, whose members are in ``ties``."""
+
     inputs: DataFrame
     matched: DataFrame
     candidates: DataFrame
     rescued: DataFrame
     final: DataFrame
     items: DataFrame
+    ties: DataFrame
+    found: Rescued
+
+    def texts(self) -> "Mapping":
+        """The same with the lists that files show written out in the rows."""
+        matched = cut_lineage(with_candidates(self.matched, self.ties).drop("tie_id"))
+        rescued = cut_lineage(with_candidates(self.found.rows, self.ties).select("pos", "mat_candidates_str").join(
+            self.found.with_texts(), "pos"
+        ))
+        final = cut_lineage(merge_rescued(matched, rescued))
+        return Mapping(
+            self.inputs, matched, needs_rescue(matched), rescued, final, report_items(final), self.ties, self.found
+        )
 
 
 def cleaned(queries: DataFrame) -> DataFrame:
@@ -59,19 +74,23 @@ def described(names: DataFrame, prefixes=V.COLLECTION_PREFIXES) -> DataFrame:
     )
 
 
-def matched_rows(
-    inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PREFIXES, text=True
-) -> DataFrame:
-    """Match cleaned rows and keep the most specific ones.
+def matched_ties(inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PREFIXES) -> tuple[DataFrame, Matches]:
+    """Match cleaned rows and keep the most specific ones, with the ``tie_id`` of each.
 
-    Names are matched and described once per distinct value. ``text=False`` leaves
-    out ``mat_candidates_str``.
+    Names are matched and described once per distinct value.
     """
     matches = match_names(inputs, models, prefixes)
     best = matches.best.drop("anchor")
     # read by the group positions, the duplicates and the prefixes
     rows = cut_lineage(inputs.join(described(inputs, prefixes), "taxon").join(best, "taxon"))
-    kept = with_group_position(most_specific(rows), rows)
+    return with_group_position(most_specific(rows), rows), matches
+
+
+def matched_rows(
+    inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PREFIXES, text=True
+) -> DataFrame:
+    """:func:`matched_ties` with the tie sets as text, or without them."""
+    kept, matches = matched_ties(inputs, models, prefixes)
     # candidate texts are long: add them to the surviving rows only
     return (matches.with_candidates(kept) if text else kept).drop("tie_id")
 
@@ -81,8 +100,10 @@ def map_names(
 ) -> Mapping:
     """All steps of a mapping run. Matched, rescued and final rows are each worked out once and kept."""
     inputs = cleaned(queries)
-    matched = cut_lineage(matched_rows(inputs, models, prefixes))
+    kept, matches = matched_ties(inputs, models, prefixes)
+    matched, ties = cut_lineage(kept), cut_lineage(matches.all_ties())
     candidates = needs_rescue(matched)
-    rescued = cut_lineage(rescue(candidates, lookup))
-    final = cut_lineage(merge_rescued(matched, rescued))
-    return Mapping(inputs, matched, candidates, rescued, final, report_items(final))
+    found = rescue_ties(candidates, lookup, ties)
+    rescued = found.rows
+    final = cut_lineage(merge_rescued(matched, rescued.drop("rec_id")))
+    return Mapping(inputs, matched, candidates, rescued, final, report_items(final), ties, found)

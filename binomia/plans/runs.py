@@ -33,7 +33,7 @@ def map_file(
         raise FileNotFoundError(source)
     job_id, folder = run_folders(output, name)
     debug, results = folder / "debug", folder / "results"
-    run = map_names(read_queries(spark, source), read_catalogue(spark, models), load_lookup(spark, lookup))
+    run = map_names(read_queries(spark, source), read_catalogue(spark, models), load_lookup(spark, lookup)).texts()
     rescued = run.final.where("bands <> 'auto-accept'")
     order = output_order()
 

@@ -245,6 +245,19 @@ def pairs_of(names):
     )
 
 
+# --- a whole run -----------------------------------------------------------
+
+PART_TAXONOMY = [
+    f"nodes as ({R.PART_NODES})", f"names as ({R.PART_NAMES})", f"merged as ({R.PART_MERGED})",
+    CHAIN, SCOPE.replace(ROOTS, "'1'"), BUCKETS, LINEAGE, RECORDS, KEYS,
+]
+RUN_WANTED = f"""
+    wanted as (select pos, {S.plain_name('taxon')} as taxon, n_candidates as n_listed from kept where bands <> 'auto-accept'),
+    {FIND[FIND.index('spelled as'):]}""".strip()
+RUN_CANDS = """
+    cand_rows as (select w.pos, t.model, min(t.model_pos) as place from wanted w join tied t on t.taxon = w.taxon group by w.pos, t.model)"""
+RUN_RESCUE = RESCUE.replace("coalesce(r4.n, 6)", "coalesce(r4.n, w.n_listed)")
+
 CORE = r"regexp_replace(trim(coalesce(suggested_gem, '')), '\.mat$', '', 'i')"
 SCORED_V = f"sv as (select *, {CORE} as core, {pairs_of("string_split(synonyms, '|')")} as pairs from scored)"
 
@@ -396,6 +409,20 @@ ORACLES = {
     "rescue_names": taxonomy("""select pos, taxon, case when lost then 'no_suggestion' else core end as suggested_gem, final_color as final_band, match_level, rationale_final,
         lost as is_not_found from verdict""", FIND, POOLS, CANDS, RESCUE,
         f"sv as (select *, gem as core, tier as confidence, {_GS.replace('taxon', 'canonical')} as canonical_gs, {pairs_of('pool')} as pairs from scored_r)", verdicts("sv")),
+    "report_candidate_rows": with_(*MATCH, body=f"""select pos, score, count(*) as n, min(model) as first_model, sum(model_pos)::bigint as places from (
+        select x.pos, t.model, t.model_pos, case when t.model = b.mat then {S.rounded('b.j_score', 2)} else 0.5::double end as score
+        from taxa x join banded b on b.taxon = x.taxon and b.j_score > 0 join tied t on t.taxon = x.taxon) group by pos, score"""),
+    "pipeline_final": with_(*MATCHED, *PART_TAXONOMY, RUN_WANTED, POOLS, RUN_CANDS.strip(), RUN_RESCUE,
+        f"sv as (select *, gem as core, tier as confidence, {_GS.replace('taxon', 'canonical')} as canonical_gs, {pairs_of('pool')} as pairs from scored_r)",
+        verdicts("sv"),
+        f"""joined_r as (select k.pos, k.taxon, k.mat, k.bands, k.j_score, case when v.lost then 'no_suggestion' else v.gem end as suggested_gem,
+            v.canonical, v.final_color as final_band, v.match_level, v.rationale_final, v.median_score,
+            coalesce(v.n_candidates, k.n_candidates)::bigint as n_candidates, v.n_top_ties::bigint as n_top_ties, v.top_score::bigint as top_score,
+            v.n_100s::bigint as n_100s from kept k left join verdict v on v.pos = k.pos),
+        graded as (select *, {_BAND} as b from joined_r)""",
+        body=f"""select pos, taxon, mat, bands, j_score, suggested_gem, canonical, final_band, match_level, rationale_final, median_score, n_candidates,
+        n_top_ties, top_score, n_100s, {_STATUS} as status, {S.rounded(f'({_CONF})', 4)} as confidence_score,
+        coalesce(nullif(suggested_gem, ''), nullif(mat, ''), '') as mapped_id from graded""", recursive=True),
     "score_summaries": """with s0 as (select o_custkey, [0, 20, 60, 70, 75, 100][(o_orderkey % 6) + 1] as score from orders),
         s1 as (select *, max(score) over (partition by o_custkey) as top from s0),
         s2 as (select o_custkey, max(top) as top_score, count(*) filter (where score = top) as n_top, median(score) filter (where score < top) as median_other,

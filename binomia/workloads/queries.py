@@ -289,7 +289,8 @@ def _tree(spark, folder):
 
 @query
 def taxonomy_scope(spark, folder):
-    return taxonomy.in_scope(_tree(spark, folder), R.ROOTS).select("taxid")
+    nodes = cut_lineage(derive(spark, folder, R.NODES))
+    return taxonomy.scoped(nodes, taxonomy.inner_paths(nodes), R.ROOTS).select("taxid")
 
 
 @query
@@ -323,7 +324,7 @@ def taxonomy_merged(spark, folder):
     )
 
 
-def _compiled(spark, folder):
+def _compiled(spark, folder, nodes=R.NODES, names=R.NAMES, merged=R.MERGED, roots=tuple(R.ROOTS)):
     def fields(sql, *columns):
         text = [F.col(c).cast("string") if c else F.lit("") for c in columns]
         rows = derive(spark, folder, sql)
@@ -332,10 +333,10 @@ def _compiled(spark, folder):
         return cut_lineage(rows.select(line.alias("line_no"), F.array(*text).alias("fields")))
 
     return taxonomy.compile_taxonomy(
-        fields(R.NODES, "taxid", "parent", "rank"),
-        fields(R.NAMES, "taxid", "name", None, "name_class"),
-        fields(R.MERGED, "old", "taxid"),
-        R.ROOTS,
+        fields(nodes, "taxid", "parent", "rank"),
+        fields(names, "taxid", "name", None, "name_class"),
+        fields(merged, "old", "taxid"),
+        roots,
     )
 
 
@@ -479,6 +480,31 @@ def reclassified(spark, folder):
     )
 
 
+@query
+def pipeline_final(spark, folder):
+    """A whole mapping run: match, keep the most specific, rescue, merge and grade, with no list in any cell."""
+    queries = derive(spark, folder, R.TAXA).withColumn("taxa_name", name_text(F.col("taxa_name")))
+    records, keys, _ = _compiled(spark, folder, R.PART_NODES, R.PART_NAMES, R.PART_MERGED, ("1",))
+    run = mapping.map_names(queries, models(spark, folder), lookup.from_taxonomy(records, keys))
+    state = run.items.select("pos", "status", "confidence_score", "mapped_id")
+    return run.final.join(state, "pos").select(
+        "pos", "taxon", "mat", "bands", "j_score", "suggested_gem", "canonical", "final_band", "match_level",
+        "rationale_final", "median_score", "status", "confidence_score", "mapped_id",
+        *[F.col(c).cast("long").alias(c) for c in ("n_candidates", "n_top_ties", "top_score", "n_100s")],
+    )
+
+
+@query
+def report_candidate_rows(spark, folder):
+    """Candidates of a report as rows, from the tie sets."""
+    found = match.match_names(taxa(spark, folder), models(spark, folder))
+    best = found.best.where("j_score > 0").select("taxon", "tie_id", "mat", "j_score")
+    rows_ = taxa(spark, folder).join(best, "taxon")
+    return report.candidate_rows(rows_, found.all_ties()).groupBy("pos", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.min("model_id").alias("first_model"), F.sum("place").alias("places")
+    )
+
+
 # --- reports ---------------------------------------------------------------
 
 

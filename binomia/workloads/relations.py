@@ -73,6 +73,25 @@ from orders
 
 ROOTS = ["R0", "N7", "R99"]
 
+# A taxonomy of the names in TAXA: some species as they are, some moved to another genus, some unknown.
+PART_NODES = f"""
+select '1' as taxid, '1' as parent, 'no rank' as rank
+union all select distinct concat('G', {_G}), '1', 'genus' from part
+union all select cast(2000000 + p_partkey as string), concat('G', {_G}), 'species' from part where p_size % 4 <> 3
+"""
+PART_NAMES = f"""
+select '1' as taxid, 'root' as name, 'scientific name' as name_class, 0 as line_no
+union all select distinct concat('G', {_G}), {_G}, 'scientific name', 1 from part
+union all select cast(2000000 + p_partkey as string), case p_size % 4 when 0 then {_NAME} when 1 then concat('Neo', lower({_G}), ' ', {_S})
+    else concat({_G}, ' sp. X', {_KEY}) end, 'scientific name', 2 from part where p_size % 4 <> 3
+union all select cast(2000000 + p_partkey as string), {_NAME}, 'synonym', 3 from part where p_size % 4 = 1
+union all select cast(2000000 + p_partkey as string), concat({_NAME}, ' ', lower(p_type)), 'includes', 4 from part where p_size % 8 = 0
+"""
+PART_MERGED = """
+select cast(3000000 + p_partkey as string) as old, cast(2000000 + p_partkey as string) as taxid, p_partkey as line_no
+from part where p_size % 5 = 0
+"""
+
 # Names to look up: spellings of customers and their orders.
 LOOKUP_NAMES = f"""
 select o_orderkey as pos, case o_orderkey % 6
@@ -133,15 +152,7 @@ from part
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A supplied table, spread over the cores where it is stored as fewer splits.
-
-    Reading names costs far more than moving them, and a small file is one split.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("part", "documents") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
