@@ -174,9 +174,8 @@ def score_ties(pairs: DataFrame, ties: DataFrame, pools: DataFrame) -> Scores:
         F.min(F.when(has, F.col("best"))).alias("best_named"),
         F.min(F.when(~has, F.col("best"))).alias("best_other"),
     )
-    record = ["genera_one", "epithets_one", "names_canon", "sp_heads", "genera_canon", "canonical_is_sp"]
-    met = pairs.join(pools.select("rec_id", "heads", *record), "rec_id").select(
-        "rec_id", "tie_id", *record, F.explode("heads").alias("g")
+    met = pairs.join(pools.select("rec_id", "heads", *SCORING), "rec_id").select(
+        "rec_id", "tie_id", *SCORING, F.explode("heads").alias("g")
     )
     hits = (
         met.join(groups, ["tie_id", "g"])
@@ -368,74 +367,126 @@ def reclassify(scored: DataFrame) -> DataFrame:
     return out.drop("_first", "_final").withColumns(changes)
 
 
-def listed_ties(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a ``tie_id`` for their list of candidates, and the members of each distinct list."""
-    mat = F.col("mat") if "mat" in rows.columns else F.lit(None).cast("string")
-    listed = rows.withColumn("_cands", candidates_or_match(F.col("mat_candidates_str"), mat)).withColumns(
-        {"tie_id": F.sha2(F.array_join("_cands", "\u0001"), 256), "n_listed": F.size("_cands")}
+def ranked_list(candidates) -> Column:
+    """Distinct candidates of a row with score and reason: best first, then shorter, then as given."""
+
+    def entry(m, i):
+        return let(
+            model_pair(m),
+            lambda p: F.struct(
+                (-F.when(p.isNull(), 0).otherwise(pair_score(p["g"], p["s"]))).alias("neg"),
+                F.char_length(m).alias("length"),
+                i.alias("place"),
+                m.alias("model"),
+            ),
+        )
+
+    return F.transform(
+        F.sort_array(F.transform(F.array_distinct(candidates), entry)),
+        lambda s: F.struct(s["model"].alias("model"), (-s["neg"]).alias("score"), reason_of(-s["neg"]).alias("reason")),
     )
-    ties = listed.groupBy("tie_id").agg(F.first("_cands").alias("_cands")).select(
-        "tie_id", F.posexplode("_cands").alias("place", "model")
+
+
+def ranked_text(ranked) -> Column:
+    """``model@@score@@reason`` items joined by ``;``."""
+    items = F.transform(
+        ranked, lambda c: F.concat_ws("@@", c["model"], c["score"].cast("string"), c["reason"])
     )
-    return listed.drop("_cands"), ties
+    return F.coalesce(F.array_join(items, ";"), F.lit(""))
 
 
 TEXT_COLUMNS = ["ranked_candidates", "synonyms", "gs_aliases"]
 
 
+def _with_record(rows: DataFrame, other: DataFrame, *more: str) -> DataFrame:
+    """Left join on ``rec_id`` and more columns; rows without a record are spread, not gathered under null."""
+    key = F.coalesce("rec_id", F.concat(F.lit("\u0001"), "taxon"))
+    keyed = rows.withColumn("_rec", key)
+    return keyed.join(other.withColumnRenamed("rec_id", "_rec"), ["_rec", *more], "left").drop("_rec")
+
+
+RECORD_SCALARS = ["canonical", "rank", "taxid", "lineage_genera"]
+POOL_FACTORS = ["pool_names", "pool_genera", "pool_epithets"]
+SCORING = ["genera_one", "epithets_one", "names_canon", "sp_heads", "genera_canon", "canonical_is_sp"]
+
+
 @dataclass
 class Rescued:
-    """Rescued rows without lists in cells, and what their texts are made from."""
+    """Rescued rows, and what the texts that only files show are made from.
+
+    Rows that came with their candidates as text have them ranked in ``ranked``; other rows name
+    their tie set, and ``scores`` has the scores.
+    """
 
     rows: DataFrame
-    pairs: DataFrame
-    scores: Scores
     pools: DataFrame
+    pairs: DataFrame | None = None
+    scores: Scores | None = None
 
     def with_texts(self) -> DataFrame:
         """The rows with the columns that only files show."""
-        pool = self.pools.select("rec_id", "pool_names", "pool_genera", "pool_epithets")
         rows = self.rows.drop("gs_aliases", "alias_genera", "alias_epithets")
-        texts = ranked_texts(self.pairs, self.scores)
+        if self.scores is None:
+            rows = rows.withColumn("ranked_candidates", ranked_text(F.col("ranked"))).drop("ranked")
+        else:
+            rows = _with_record(rows, ranked_texts(self.pairs, self.scores), "tie_id").drop("tie_id")
         ranked = F.coalesce("ranked_candidates", F.lit(""))
         if "is_not_found" in rows.columns:
             ranked = F.when(F.col("is_not_found"), "no candidates").otherwise(ranked)
-        return rows.join(texts, ["rec_id", "tie_id"], "left").join(pool, "rec_id", "left").withColumns(
+        if "pool_names" not in rows.columns:
+            rows = _with_record(rows, self.pools.select("rec_id", *POOL_FACTORS))
+        return rows.withColumns(
             {
                 "ranked_candidates": ranked,
                 "synonyms": F.coalesce(F.array_join(expanded_pool(), "|"), F.lit("")),
                 "gs_aliases": F.coalesce(expanded_aliases(), genus_species_pairs(F.array().cast(NAMES))),
             }
-        ).drop("rec_id", "tie_id", "pool_names", "pool_genera", "pool_epithets")
+        ).drop("rec_id", *POOL_FACTORS)
 
 
 def score_rows(rows: DataFrame, pools: DataFrame, keys: DataFrame, ties: DataFrame | None = None) -> Rescued:
     """Look up every row, score its candidates and summarise the scores.
 
-    Candidates are the members of the row's ``tie_id`` in ``ties`` (tie_id, place, model);
-    without ``ties`` they are read from ``mat_candidates_str``. The rows get ``rec_id``; their
-    aliases stay factors.
+    Candidates are the members of the row's ``tie_id`` in ``ties`` (tie_id, place, model), scored as
+    relations. Without ``ties`` each row has its own list in ``mat_candidates_str`` and is scored where
+    it is. The rows get ``rec_id``; their aliases stay factors.
     """
     base = rows.withColumn("taxon", plain_name(F.col("taxon")))
-    if ties is None:
-        base, ties = listed_ties(base)
-    else:
+    if ties is not None:
         base = base.withColumn("n_listed", F.col("n_candidates"))
-    pools = cut_lineage(pools)
+    found = find_records(base, keys)
     own = base.drop(*[c for c in [*RESCUE_COLUMNS, "rec_id"] if c in base.columns])
-    located = cut_lineage(own.join(find_records(base, keys), "taxon", "left"))
-    pairs = located.where("rec_id is not null").select("rec_id", "tie_id").distinct()
-    scores = score_ties(pairs, ties, pools)
-    record = pools.select(
-        "rec_id", "canonical", "rank", "taxid", "lineage_genera", "pool_names", "pool_genera", "pool_epithets"
-    )
-    joined = located.join(scores.pairs, ["rec_id", "tie_id"], "left").join(record, "rec_id", "left")
     known = F.col("rec_id").isNotNull()
+    pairs = scores = None
+    if ties is None:
+        mat = F.col("mat") if "mat" in rows.columns else F.lit(None).cast("string")
+        own = own.withColumn("_cands", candidates_or_match(F.col("mat_candidates_str"), mat))
+        record = found.join(pools.select("rec_id", *RECORD_SCALARS, *POOL_FACTORS, *SCORING), "rec_id")
+        joined = own.join(record, "taxon", "left").withColumn("n_listed", F.size("_cands"))
+        best = F.get("ranked", F.lit(0))
+        joined = joined.withColumn("ranked", F.when(known, ranked_list(F.col("_cands")))).withColumns(
+            {
+                "_sum": score_summary(F.transform("ranked", lambda c: c["score"])),
+                "n_ranked": F.size("ranked"),
+                "best_model": best["model"],
+                "best_reason": best["reason"],
+            }
+        )
+        more = ["ranked", *POOL_FACTORS]
+    else:
+        pools = cut_lineage(pools)
+        located = cut_lineage(own.join(found, "taxon", "left"))
+        pairs = located.where("rec_id is not null").select("rec_id", "tie_id").distinct()
+        scores = score_ties(pairs, ties, pools)
+        record = pools.select("rec_id", *RECORD_SCALARS, *POOL_FACTORS)
+        joined = _with_record(_with_record(located, scores.pairs, "tie_id"), record)
+        missing = summary_of_counts({v: F.lit(0) for v in LEVELS})
+        joined = joined.withColumn("_sum", F.coalesce("_sum", missing))
+        more = ["tie_id"]
     rationale = F.when(~known, V.NO_RECORD).otherwise(F.coalesce("best_reason", F.lit(V.NO_CANDIDATE)))
     nothing = F.array().cast(NAMES)
-    missing = summary_of_counts({v: F.lit(0) for v in LEVELS})
     lower = lambda names: F.transform(F.coalesce(names, nothing), F.lower)
-    out = joined.withColumn("_sum", F.coalesce("_sum", missing)).withColumns(
+    out = joined.withColumns(
         {
             "canonical": F.coalesce("canonical", F.lit("")),
             "rank": F.coalesce("rank", F.lit("")),
@@ -455,10 +506,10 @@ def score_rows(rows: DataFrame, pools: DataFrame, keys: DataFrame, ties: DataFra
             "alias_epithets": F.transform(lower("pool_epithets"), lambda e: F.rtrim(e, F.lit("."))),
         }
     ).withColumn("canonical_gs", genus_species(F.col("canonical")))
-    kept = [c for c in rows.columns if c not in RESCUE_COLUMNS and c not in ("rec_id", "tie_id")]
+    kept = [c for c in rows.columns if c not in RESCUE_COLUMNS and c not in ("rec_id", "tie_id", "ranked", *POOL_FACTORS)]
     columns = [c for c in RESCUE_COLUMNS if c not in TEXT_COLUMNS]
     factors = ["gs_aliases", "alias_genera", "alias_epithets"]
-    return Rescued(out.select(*kept, "rec_id", "tie_id", *columns, *factors), pairs, scores, pools)
+    return Rescued(out.select(*kept, "rec_id", *more, *columns, *factors), pools, pairs, scores)
 
 
 def score_names(rows: DataFrame, pools: DataFrame, keys: DataFrame) -> DataFrame:
@@ -478,7 +529,7 @@ def rescue_ties(rows: DataFrame, lookup: Lookup, ties: DataFrame | None = None)
     """Rescue rows with ``taxon`` and candidates as :func:`score_rows` reads them; other columns are kept."""
     found = score_rows(rows, record_pools(lookup), lookup.keys, ties)
     final = reclassify(found.rows).drop("gs_aliases", "alias_genera", "alias_epithets")
-    return Rescued(cut_lineage(final), found.pairs, found.scores, found.pools)
+    return Rescued(final, found.pools, found.pairs, found.scores)
 
 
 def rescue(rows: DataFrame, lookup: Lookup) -> DataFrame:

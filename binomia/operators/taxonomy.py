@@ -41,18 +41,23 @@ def parse_names(fields: DataFrame, capture: DataFrame) -> DataFrame:
 
 def bucket_names(rows: DataFrame) -> DataFrame:
     """Group ``taxid, name, name_class, line_no`` into one row per id."""
-    line = F.col("line_no")
+    classes = ["scientific name", *V.ALTERNATE_CLASSES, "authority"]
+    line = F.struct("line_no", "name", "name_class")
+    # one list for all classes: a single buffer for each id
+    lines = rows.where(F.col("name_class").isin(classes)).groupBy("taxid").agg(
+        F.sort_array(F.collect_list(line)).alias("lines")
+    )
 
     def listed(name_class):
-        of_class = F.when(F.col("name_class") == name_class, F.struct("line_no", "name"))
-        return F.transform(F.sort_array(F.collect_list(of_class)), lambda x: x["name"])
+        return F.transform(F.filter("lines", lambda x: x["name_class"] == name_class), lambda x: x["name"])
 
-    scientific = F.when(F.col("name_class") == "scientific name", line)
-    return rows.groupBy("taxid").agg(
-        F.max_by("name", scientific).alias("scientific_name"),
+    named = lines.select(
+        "taxid",
+        F.try_element_at(listed("scientific name"), F.lit(-1)).alias("scientific_name"),
         *[listed(c).alias(field) for c, field in V.ALTERNATE_CLASSES.items()],
         listed("authority").alias("Authority"),
     )
+    return named
 
 
 def parse_merged(fields: DataFrame, in_scope: DataFrame) -> DataFrame:
@@ -94,7 +99,8 @@ def inner_paths(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     if names is None:
         named = inner.withColumn("scientific_name", F.lit(None).cast("string"))
     else:
-        named = inner.join(names.select("taxid", "scientific_name"), "taxid", "left")
+        some = names.select("taxid", "scientific_name").join(inner.select("taxid"), "taxid", "left_semi")
+        named = inner.join(some, "taxid", "left")
     own = cut_lineage(
         named.select("taxid", _step().alias("step"), F.when(_climbs(), F.col("parent")).alias("next"))
     )

@@ -104,6 +104,6 @@ def map_names(
     matched, ties = cut_lineage(kept), cut_lineage(matches.all_ties())
     candidates = needs_rescue(matched)
     found = rescue_ties(candidates, lookup, ties)
-    rescued = found.rows
+    found.rows = rescued = cut_lineage(found.rows)
     final = cut_lineage(merge_rescued(matched, rescued.drop("rec_id")))
     return Mapping(inputs, matched, candidates, rescued, final, report_items(final), ties, found)
