@@ -161,7 +161,7 @@ def vector_codes(
     all of them where the length isn't a multiple of the number of parts, end in zeros. Repeated rows
     stay; null ids stay null and start codebooks last. With fewer rows than entries the codebooks are
     smaller; an empty table gives an empty result. Null labels count together. A sum of squares beyond
-    64 bits is null.
+    64 bits is null, and so is a label's sum that holds one.
     """
     rows = needed(embeddings, "vec_id", "embedding", "label")
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -183,7 +183,8 @@ def vector_codes(
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     coded = stash(vectors.mapInArrow(run, f"vec_id {kind['vec_id']}, code string, error long, label {kind['label']}"))
-    sums = coded.groupBy("label").agg(F.try_sum("error").alias("label_error"))
+    whole = F.count("error") == F.count(F.lit(1))
+    sums = coded.groupBy("label").agg(F.when(whole, F.try_sum("error")).alias("label_error"))
     sums = sums.withColumnRenamed("label", "of_label")
     if sums.count() <= _SMALL_LABELS:
         sums = F.broadcast(sums)
