@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import Lookup
+from .files import kind_of, row_place
 
 log = logging.getLogger(__name__)
 
@@ -38,13 +39,18 @@ def dump_fields(lines: DataFrame) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, fields`` of a dump file; ``line_no`` grows with the file."""
-    lines = spark.read.text(str(path)).withColumn("line_no", F.monotonically_increasing_id())
-    return dump_fields(lines)
+    """``line_no, fields`` of a dump file or a folder of its parts; ``line_no`` grows with the file over all splits."""
+    lines, place = row_place(spark.read.text(str(path)))
+    return dump_fields(lines.withColumn("line_no", place))
 
 
-def resolve_dump(path, work_dir=None) -> Path:
-    """Folder with the dump files, unpacked first if ``path`` is a tar archive."""
+def resolve_dump(path, work_dir=None, spark: SparkSession | None = None):
+    """Folder with the dump files, unpacked first if ``path`` is a tar archive.
+
+    A folder may lie on any file system that Spark reads; archives are local.
+    """
+    if spark is not None and kind_of(spark, str(path)) == "folder":
+        return str(path)
     found = Path(path)
     if found.is_dir():
         return found
@@ -74,24 +80,16 @@ def save_lookup(lookup: Lookup, path: str) -> None:
 
 def load_lookup(spark: SparkSession, path: str) -> Lookup:
     """Stored lookup; an empty one with a warning where nothing is stored."""
-    if path.rstrip("/").endswith((".json", "lookup_json")):
+    kind = kind_of(spark, path)
+    # what lies there decides, not how it is called: tables, else JSON
+    if kind == "file" or (kind == "folder" and not kind_of(spark, f"{path}/keys")):
         return import_lookup(spark, path)
-    if not _status(spark, f"{path}/keys"):
+    if not kind:
         log.warning("no lookup at %s", path)
         return empty_lookup(spark)
     return Lookup(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/records"))
 
 
-def _status(spark: SparkSession, path: str) -> str:
-    """What lies at a path of any file system: "file", "folder", or "" where nothing does."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(str(path))
-    system = place.getFileSystem(context._jsc.hadoopConfiguration())
-    if not system.exists(place):
-        return ""
-    return "folder" if system.getFileStatus(place).isDirectory() else "file"
-
-
 def empty_lookup(spark: SparkSession) -> Lookup:
     keys = spark.createDataFrame(
         [], "key string, ord int, rec_id string, scientific_name string"
@@ -106,7 +104,7 @@ def import_lookup(spark: SparkSession, path: str) -> Lookup:
     read in parallel. A single file cannot be split, so one task parses it; store the result with
     :func:`save_lookup`. A missing or broken file gives an empty lookup; other failures are raised.
     """
-    kind = _status(spark, path)
+    kind = kind_of(spark, path)
     if not kind:
         log.warning("no lookup at %s", path)
         return empty_lookup(spark)

@@ -4,19 +4,20 @@ import json
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import Lookup
+from .files import make_folder
 
 
-def run_folders(base: str, name: str = "", now: datetime | None = None):
-    """Job id and the folders ``debug`` and ``results`` of a run."""
+def run_folders(spark: SparkSession, base: str, name: str = "", now: datetime | None = None):
+    """Job id and folder of a run, with ``debug`` and ``results`` in it, on any file system that Spark writes."""
     stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
     job_id = f"{name}_{stamp}" if name else stamp
-    folder = Path(base) / (f"run_{stamp}_{name}" if name else f"run_{stamp}")
+    folder = f"{str(base).rstrip('/')}/" + (f"run_{stamp}_{name}" if name else f"run_{stamp}")
     for part in ("debug", "results"):
-        (folder / part).mkdir(parents=True, exist_ok=True)
+        make_folder(spark, f"{folder}/{part}")
     return job_id, folder
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from .files import row_place
 
 # Texts that count as missing in a CSV file.
 MISSING = [
@@ -12,9 +13,22 @@ MISSING = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns as text."""
-    return spark.read.csv(path, header=True, quote='"', escape='"')
+#: Column with the place of a row in its file.
+_PLACE = "_place"
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, all columns as text, and the place of each row in the file.
+
+    With ``multi_line`` quoted cells may hold line breaks; then one task reads a file.
+    """
+    raw, place = row_place(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line))
+    columns = [c for c in raw.columns if c not in ("_start", "_file", "_no", "_in_task", "_path")]
+    return raw.select(*[F.col(f"`{c}`") for c in columns], place.alias(_PLACE))
+
+
+def _row_place(raw: DataFrame) -> Column:
+    return F.col(_PLACE) if _PLACE in raw.columns else F.monotonically_increasing_id()
 
 
 def pick_column(columns, wanted, default=None):
@@ -34,27 +48,28 @@ def abundance_value(column) -> Column:
 def as_queries(raw: DataFrame) -> DataFrame:
     """``pos, taxa_name, abundance`` of a raw table.
 
-    ``pos`` grows with the row order of one file. Abundance is null without such a
+    ``pos`` grows with the row order of the file. Abundance is null without such a
     column.
     """
-    name = pick_column(raw.columns, V.NAME_COLUMNS, raw.columns[0])
-    abundance = pick_column(raw.columns, V.ABUNDANCE_COLUMNS)
+    columns = [c for c in raw.columns if c != _PLACE]
+    name = pick_column(columns, V.NAME_COLUMNS, columns[0])
+    abundance = pick_column(columns, V.ABUNDANCE_COLUMNS)
     value = abundance_value(F.col(abundance)) if abundance else F.lit(None).cast("double")
     return raw.select(
-        F.monotonically_increasing_id().alias("pos"),
+        _row_place(raw).alias("pos"),
         name_text(F.col(name).cast("string")).alias("taxa_name"),
         value.alias("abundance"),
     )
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    return as_queries(read_csv(spark, path))
+def read_queries(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return as_queries(read_csv(spark, path, multi_line))
 
 
 def as_catalogue(raw: DataFrame) -> DataFrame:
     """``model_pos, model`` of a table with a ``Filename`` column."""
     model = F.regexp_replace(name_text(F.col("Filename")), r"\.mat$", "")
-    return raw.select(F.monotonically_increasing_id().alias("model_pos"), model.alias("model"))
+    return raw.select(_row_place(raw).alias("model_pos"), model.alias("model"))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:

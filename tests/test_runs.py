@@ -1,12 +1,13 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 
 from binomia import cli
 from binomia.functions import vocab as V
 from binomia.operators.lookup import from_taxonomy
-from binomia.operators.taxonomy import compile_taxonomy
+from binomia.operators.taxonomy import compile_taxonomy, parse_nodes
 from binomia.plans.runs import map_file
 from binomia.sources import dump, tables
 from binomia.sources.sinks import read_document
@@ -26,6 +27,39 @@ def test_query_columns(spark, tmp_path):
     assert (only["taxa_name"], only["abundance"]) == ("A b", None)
 
 
+def test_rows_of_many_splits_keep_the_order_of_the_file(spark, tmp_path):
+    lines = [f"n{k}\t|\tp{k}\t|\t{'x' * (k % 17)}\t|" for k in range(400)] + ["n3\t|\tlast\t|\tr\t|"]
+    write(tmp_path / "nodes.dmp", "\n".join(lines) + "\n")
+    write(tmp_path / "q.csv", "taxa_name,abundance\n" + "".join(f"name {k},{k}\n" for k in range(300)))
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for k in range(3):
+        write(folder / f"part-{k}.dmp", "".join(f"{k}_{i}\t|\tp\t|\tr\t|\n" for i in range(50)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        fields = dump.read_dump(spark, f"file://{tmp_path}/nodes.dmp")
+        assert fields.rdd.getNumPartitions() > 20
+        rows = fields.orderBy("line_no").collect()
+        assert [r["fields"][0] for r in rows] == [f"n{k}" for k in range(400)] + ["n3"]
+        assert len({r["line_no"] for r in rows}) == 401
+        assert parse_nodes(fields).where("taxid = 'n3'").first()["parent"] == "last"
+        queries = tables.read_queries(spark, str(tmp_path / "q.csv")).orderBy("pos").collect()
+        assert [r["taxa_name"] for r in queries] == [f"name {k}" for k in range(300)]
+        rows = dump.read_dump(spark, str(folder)).orderBy("line_no").collect()
+        assert [r["fields"][0] for r in rows] == [f"{k}_{i}" for k in range(3) for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'taxa_name,abundance\n"Foo\nbar",1\n"a ""b"" c",2\n')
+    got = [r["taxa_name"] for r in tables.read_queries(spark, path, multi_line=True).orderBy("pos").collect()]
+    assert got == ["Foo\nbar", 'a "b" c']
+
+
 def test_catalogue_suffix(spark, tmp_path):
     path = write(tmp_path / "m.csv", "Filename\nA_b.mat\nC_d.MAT\nE.mat.mat\n")
     got = [r["model"] for r in tables.read_catalogue(spark, path).orderBy("model_pos").collect()]
@@ -53,7 +87,10 @@ def read_rows(folder):
 
 
 def test_run_folder(spark, inputs, tmp_path):
-    folder = map_file(spark, *inputs, output=str(tmp_path / "out"), name="x", report=True, plots=True)
+    # a path with a scheme, as on shared storage
+    folder = Path(map_file(
+        spark, *inputs, output=f"file://{tmp_path}/out", name="x", report=True, plots=True
+    ).removeprefix("file://"))
     stats = json.loads((folder / "debug" / "02_filtering_stats.json").read_text())
     assert stats["total_taxa"] == 4 and stats["auto_accepted"] == 1
     assert [r["taxa_name"] for r in read_rows(folder / "debug" / "00_input.csv")][3] == "[Foo] bar, x"
