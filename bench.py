@@ -16,6 +16,7 @@ HEADLINE = [
     "subspecies_anchors",
     "best_match",
     "match_candidates",
+    "match_documents",
     "matched_rows",
     "most_specific_order",
     "taxonomy_keys",

@@ -39,7 +39,10 @@ def write_csv(df: DataFrame, path, order=(), columns=None) -> None:
     """CSV in the given order, as a folder of ordered parts."""
     rows = df.orderBy(*order) if order else df
     rows = rows.select(*columns) if columns else rows.drop("pos", "group_pos", "tie_id")
-    csv_ready(rows).write.mode("overwrite").csv(str(path), header=True, quote='"', escape='"')
+    # blanks at the ends of a cell are part of it
+    csv_ready(rows).write.mode("overwrite").csv(
+        str(path), header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_json_document(head: str, rows: DataFrame, order, tail: str, path) -> None:

@@ -401,6 +401,14 @@ ORACLES = {
         (select count(*) from keys where starts_with(key, 'TAX::')) - (select count(distinct sci) from recs) as synonym_keys,
         (select count(*) from keys where starts_with(key, 'IDS::')) as ids_keys"""),
     "find_records": taxonomy("select taxon, rec_id from found", FIND),
+    "merged_synonyms": with_(NODES, NAMES, f"merged as ({R.SHARED_MERGED})", *TAXONOMY[3:], POOLS,
+        """own_k as (select taxid as rec_id, case when len(olds) > 0 then concat('IDS::', array_to_string(olds, ',')) end as ids_key from recs),
+        taken as (select o.rec_id, p.synonyms as more from own_k o join keys k on k.key = o.ids_key and k.taxid <> o.rec_id join pools p on p.rec_id = k.taxid)""",
+        body=f"""select p.rec_id, o.ids_key, {joined("list_sort(list_distinct(list_concat(p.synonyms, coalesce(t.more, []))))")} as synonyms
+        from pools p join own_k o using (rec_id) left join taken t using (rec_id)""", recursive=True),
+    "dump_fields": f"select taxid, arg_max(parent, line_no) as parent, arg_max(rank, line_no) as rank from ({R.NODE_LINES}) group by taxid",
+    "csv_round_trip": with_(TAXA, LAST, body="select * from last_a"),
+    "lookup_round_trip": taxonomy("select taxon, rec_id as taxid from found", FIND),
     "record_pools": taxonomy(f"""select rec_id, canonical, rank, string_split(canonical, ' ')[1] as genus,
         coalesce(string_split(canonical, ' ')[2], '') as species_epithet, {joined('genera')} as genera, {joined('synonyms')} as synonyms,
         {joined('pool')} as pool from pools""", POOLS),

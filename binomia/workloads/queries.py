@@ -1,5 +1,7 @@
 """The registered queries: every operator on relations derived from the tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,8 +10,9 @@ from ..functions import tokens as T
 from ..functions.anchors import is_descriptive, species_anchor
 from ..operators import analytics, dedup, lookup, match, report, rescue, rows, taxonomy
 from ..plans import mapping
-from ..sources.tables import name_text
-from ..session import cut_lineage
+from ..sources import dump, sinks
+from ..sources.tables import name_text, read_queries
+from ..session import cut_lineage, shared_folder
 from . import relations as R
 from .relations import derive, table
 
@@ -390,6 +393,50 @@ def record_pools(spark, folder):
     )
 
 
+@query
+def merged_synonyms(spark, folder):
+    """Names that records take over from the record stored under their former ids."""
+    records, keys, _ = _compiled(spark, folder, merged=R.SHARED_MERGED)
+    found = lookup.from_taxonomy(records, keys)
+    merged = lookup.with_merged_synonyms(cut_lineage(lookup.parse_records(found.records)), found.keys)
+    return merged.select("rec_id", "ids_key", joined("synonyms").alias("synonyms"))
+
+
+# --- files -----------------------------------------------------------------
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
+
+
+@query
+def dump_fields(spark, folder):
+    """A nodes file in many parts: the last line of an id counts."""
+    path = _new_folder(spark)
+    lines = derive(spark, folder, R.NODE_LINES).orderBy("line_no")
+    text = F.concat(F.concat_ws("\t|\t", "taxid", "parent", "rank"), F.lit("\t|"))
+    lines.select(text.alias("value")).write.text(path)
+    return taxonomy.parse_nodes(dump.read_dump(spark, path))
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Names written as CSV and read back: of equal names the last row of the file counts."""
+    path = _new_folder(spark)
+    sinks.write_csv(derive(spark, folder, R.TAXA), path, ["pos"], ["taxa_name", "abundance"])
+    return rows.last_abundance(read_queries(spark, path))
+
+
+@query
+def lookup_round_trip(spark, folder):
+    """A lookup written as JSON and read back finds the same records."""
+    path = _new_folder(spark)
+    sinks.export_lookup(_lookup(spark, folder), path)
+    found = dump.load_lookup(spark, path)
+    ids = found.records.select("rec_id", F.col("record.TaxId").alias("taxid"))
+    return lookup.find_records(_wanted(spark, folder), found.keys).join(ids, "rec_id").select("taxon", "taxid")
+
+
 # --- rescue ----------------------------------------------------------------
 
 

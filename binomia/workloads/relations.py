@@ -71,6 +71,18 @@ select cast(5000000 + o_orderkey as string) as old, cast(1000000 + o_custkey as
 from orders
 """
 
+# Former ids that several species share.
+SHARED_MERGED = """
+select cast(5000000 + o_custkey % 50 as string) as old, cast(1000000 + o_orderkey as string) as taxid, o_orderkey as line_no
+from orders where o_orderkey % 3 <> 0
+"""
+
+# Lines of a nodes file in which ids come again and again.
+NODE_LINES = """
+select cast(o_custkey as string) as taxid, cast(o_orderkey as string) as parent, o_orderpriority as rank, o_orderkey as line_no
+from orders
+"""
+
 ROOTS = ["R0", "N7", "R99"]
 
 # A taxonomy of the names in TAXA: some species as they are, some moved to another genus, some unknown.
