@@ -59,9 +59,10 @@ class _Writer:
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
-        if self.n_waiting >= _GROUP_IDS:
+        # half a group more waits, so that no file ends in a small group: each costs as many steps as a full one
+        if self.n_waiting >= 3 * _GROUP_IDS // 2:
             ids = np.concatenate(self.waiting)
-            while len(ids) >= _GROUP_IDS:
+            while len(ids) >= 3 * _GROUP_IDS // 2:
                 self.group(ids[:_GROUP_IDS])
                 ids = ids[_GROUP_IDS:]
             self.waiting, self.n_waiting = [ids.copy()], len(ids)
