@@ -472,6 +472,12 @@ ORACLES = {
         case when n_candidates = 0 then '0' else {bins('n_candidates', CANDIDATE_EDGES, CANDIDATE_REST)} end as zero_bin,
         (round_even(top_score / 25.0::double, 0) * 25)::double as score_bin from final_t"""),
     "score_histogram": from_final("select floor(j_score / 0.0625)::bigint as bin, bands, count(*) as n from final_t group by 1, 2"),
+    "score_histogram_fine": from_final("select floor(j_score / 0.05::double)::bigint as bin, bands, count(*) as n from final_t group by 1, 2"),
+    "detail_rescued": from_final("""select f.pos, r.final_band as rescue_band, r.top_score::bigint as rescue_score, r.bands as rescue_level,
+        case when r.pos is not null then 1 + (r.suggested_gem is not null)::bigint end as n_ranked,
+        case when r.pos is not null then case when r.suggested_gem is null or r.suggested_gem = 'no_suggestion' then '' else r.suggested_gem end end as preferred,
+        r.mat as first_model from final_t f left join (select * from (select *, row_number() over (partition by taxon order by pos desc) as rn
+        from final_t where final_band is not null and final_band <> '') where rn = 1) r on r.taxon = f.taxon"""),
     "multiplicity": from_final(f"select candidates_bin, bands, count(*) as n from (select {bins('n_candidates', CANDIDATE_EDGES, CANDIDATE_REST)} as candidates_bin, bands from final_t) where candidates_bin is not null group by 1, 2"),
     "heat_tiles": from_final(f"""select final_band, score_bin, tie_bin, n, tier_n from (select final_band, (round_even(top_score / 25.0::double, 0) * 25)::double as score_bin,
         {bins('n_top_ties', TIE_EDGES, TIE_REST)} as tie_bin, count(*) as n from rescued where not is_not_found group by 1, 2, 3)

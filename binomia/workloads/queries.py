@@ -621,6 +621,27 @@ def detail_records(spark, folder):
     )
 
 
+@query
+def detail_rescued(spark, folder):
+    """Matched rows with the last rescued row of their name."""
+    final = derive(spark, folder, R.FINAL)
+    ranked = F.concat_ws(";", F.concat_ws("@@", "mat", F.col("top_score").cast("string"), F.lit("why")), "suggested_gem")
+    rescued = final.where("final_band is not null and final_band <> ''").withColumns(
+        {
+            "canonical": F.col("taxon"), "rank": F.lit("species"), "confidence": F.col("final_band"),
+            "match_level": F.col("bands"), "rationale_scoring": F.lit("s"), "rationale_final": F.lit("f"),
+            "ranked_candidates": ranked,
+        }
+    )
+    out = report.detail_records(final, rescued, report.report_items(final))
+    r = F.col("rescue")
+    return out.select(
+        "pos", r["final_band"].alias("rescue_band"), r["top_score"].cast("long").alias("rescue_score"),
+        r["match_level"].alias("rescue_level"), r["n_candidates"].cast("long").alias("n_ranked"),
+        r["preferred"].alias("preferred"), r["candidates"][0]["model"].alias("first_model"),
+    )
+
+
 # --- analytics -------------------------------------------------------------
 
 
@@ -648,6 +669,11 @@ def score_histogram(spark, folder):
     return analytics.score_histogram(derive(spark, folder, R.FINAL), 0.0625)
 
 
+@query
+def score_histogram_fine(spark, folder):
+    return analytics.score_histogram(derive(spark, folder, R.FINAL), 0.05)
+
+
 @query
 def multiplicity(spark, folder):
     return analytics.multiplicity(derive(spark, folder, R.FINAL))
