@@ -28,12 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the row with the smallest id. Rows without id stay."""
+    """One document of each group of linked ones: the row with the smallest id. Rows without id stay.
+
+    Of several rows with that id the one with the least text stays (null first), then the least other columns.
+    """
     # five words and 0.8, as near copies are understood throughout
     groups = ngram_join(docs, words=5, similarity=0.8)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy")
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    once = Window.partitionBy("doc_id").orderBy("text", *others)
+    # a name that no column has
+    copy = "_copy" + "_" * sum(len(c) for c in docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").withColumn(copy, F.row_number().over(once)).filter(F.col(copy) == 1)
     return kept.select(docs.columns).unionAll(docs.filter("doc_id is null"))
 
 
