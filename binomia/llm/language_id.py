@@ -2,8 +2,10 @@
 
 A word's features are the word and its character n-grams, hashed into a fixed number of rows; a text is
 the mean of its features' vectors. The vectors and the softmax are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows (`SAMPLE`); a temperature and a rejection threshold are
-calibrated on a part of the sample held back from training. For prediction vectors and softmax are
+in numpy on a bounded sample of labelled rows (`SAMPLE`), spread over the labels so that rare ones are
+learned too. The features of whole sampled texts are counted in the tasks; only counts by hash row reach
+the driver. A temperature and a rejection threshold are calibrated on a part of the sample held back
+from training. For prediction vectors and softmax are
 multiplied into one table of scores, so a text costs a lookup for each feature and label.
 """
 
@@ -13,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binomia.llm.common import fold, least_hashes, map_batches, needed, word_hashes
+from binomia.llm.common import fold, map_batches, needed, word_hashes
 
-#: Labelled rows that are learned from, and characters of each that are read in training.
-SAMPLE, SAMPLE_CHARS = 2000, 1000
+#: Labelled rows that are learned from; their texts are read whole.
+SAMPLE = 4000
 BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 #: Share of the held-back rows whose score lies below the rejection threshold.
 REJECTED = 0.01
@@ -98,19 +100,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, batch: int = 16, seed: int = 7) -> LanguageModel:
-    """Train on (text, lang) rows; a fifth of them is held back for the temperature and the threshold."""
-    langs = sorted({lang for _, lang in rows})
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash rows of a text's features, ascending, and how often each occurs; at most BUCKETS of them."""
+    total = np.zeros(BUCKETS, np.int64)
+    for words in blocks(text):
+        total += np.bincount(subwords(words), minlength=BUCKETS)
+    found = np.flatnonzero(total)
+    return found.astype(np.int32), total[found]
+
+
+def fit_language(rows: list[tuple[str, str]], **settings) -> LanguageModel:
+    """Train on (text, lang) rows."""
+    return fit_counts([(*counted(text), lang) for text, lang in rows], **settings)
+
+
+def fit_counts(
+    rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 6, rate: float = 0.5, batch: int = 16, seed: int = 7
+) -> LanguageModel:
+    """Train on (hash rows, counts, lang); a fifth of each lang is held back for temperature and threshold."""
+    langs = sorted({lang for *_, lang in rows})
     rng = np.random.default_rng(seed)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    features = []
-    for text, _ in rows:
-        found = [subwords(words) for words in blocks(text)]
-        features.append(np.unique(np.concatenate(found), return_counts=True) if found else ())
-    kept = [k for k in rng.permutation(len(rows)).tolist() if features[k]]
-    held, train = kept[: len(kept) // 5], kept[len(kept) // 5 :]
-    labels = np.array([langs.index(lang) for _, lang in rows])
+    features = [(f, n) for f, n, _ in rows]
+    number = {lang: k for k, lang in enumerate(langs)}
+    labels = np.array([number[lang] for *_, lang in rows])
+    held, train, seen = [], [], np.zeros(len(langs), np.int64)
+    for k in rng.permutation(len(rows)).tolist():
+        if len(features[k][0]):
+            seen[labels[k]] += 1
+            (held if seen[labels[k]] % 5 == 0 else train).append(k)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     out, bias = np.zeros((DIMENSIONS, len(langs))), np.zeros(len(langs))
     steps, done = max(epochs * len(train), 1), 0
@@ -130,31 +149,65 @@ def fit_language(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5
                 f, n = features[k]
                 vectors[f] -= np.outer(n, pace * g / n.sum() * 4)
     model = LanguageModel(langs, (vectors @ out).astype(np.float32), bias, 1.0, 0.0)
-    scorer = Scorer(model)
     checked = held or train
     if checked:
-        logits = np.stack([scorer.logits(rows[k][0]) for k in checked])
-        loss = {t: -np.log(softmax(logits / t)[np.arange(len(checked)), labels[checked]] + 1e-12).mean() for t in (0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0)}
+        logits = np.stack([n @ model.table[f] / n.sum() + bias for f, n in (features[k] for k in checked)])
+        right = np.arange(len(checked)), labels[checked]
+        loss = {t: -np.log(softmax(logits / t)[right] + 1e-12).mean() for t in (0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0)}
         model.temperature = min(loss, key=loss.get)
         model.threshold = float(np.quantile(softmax(logits / model.temperature).max(1), REJECTED))
     return model
 
 
-def train_language(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fit on the `sample` rows outside the held-out fold with the least hashes of their ids.
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to take of each label: alike for all, but that what small labels leave goes to the larger ones."""
+    out, left = {}, sample
+    for at, (label, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[label] = min(n, max(left // (len(counts) - at), 1))
+        left -= out[label]
+    return out
+
+
+def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """Fit on about `sample` rows outside the held-out fold, spread over the langs (one row of each at least).
 
-    Only text and non-null lang are read. The sample is bounded by its parameters; langs are learned as
-    far as the sample holds them.
+    Of a lang the rows with the least hashes of their ids are taken, with the text's hash for repeated ids;
+    rows that are equal in both count once. Only text and non-null lang are read, texts of any length as a
+    whole. The driver gets the counts of features, at most BUCKETS for a row.
     """
     known = needed(docs, "doc_id", "text", "lang").filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.xxhash64("doc_id")
-    rows = (
-        least_hashes(known, place, sample)
-        .select(F.substring("text", 1, sample_chars).alias("text"), "lang", place.alias("place"))
-        .orderBy("place", "lang", "text")
-        .limit(sample)
+    known = known.select("lang", "text", F.xxhash64("doc_id").alias("place"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return fit_counts([])
+    wanted = shares(counts, sample)
+    # about twice the rows of each lang lie below its hash; those are ranked, which moves few of them
+    below = {lang: 2**63 - 1 if n <= 2 * wanted[lang] else -(2**63) + 2 * wanted[lang] * 2**64 // n for lang, n in counts.items()}
+    limits = docs.sparkSession.createDataFrame(
+        [(lang, wanted[lang], below[lang]) for lang in sorted(counts)], "lang string, wanted int, below long"
     )
-    return fit_language([(r["text"], r["lang"]) for r in rows.collect()])
+    order = Window.partitionBy("lang").orderBy("place", "mark")
+    some = (
+        known.join(limits, "lang")
+        .filter(F.col("place") <= F.col("below"))
+        .withColumn("mark", F.xxhash64("text"))
+        .dropDuplicates(["lang", "place", "mark"])
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= F.col("wanted"))
+        .select("lang", "text", "place", "mark")
+    )
+
+    def made(batch):
+        found = [counted(v.as_py()) for v in batch.column("text")]
+        yield {
+            **{c: batch.column(c) for c in ("lang", "place", "mark")},
+            "rows": [f.tobytes() for f, _ in found],
+            "counts": [n.tobytes() for _, n in found],
+        }
+
+    rows = map_batches(some, made, "lang string, place long, mark long, rows binary, counts binary", rows=64).collect()
+    rows.sort(key=lambda r: (r["place"], r["mark"], r["lang"]))
+    return fit_counts([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.int64), r["lang"]) for r in rows])
 
 
 def language_id(docs: DataFrame, model: LanguageModel) -> DataFrame:
