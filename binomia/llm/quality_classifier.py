@@ -1,9 +1,10 @@
 """Quality classifier: how much better a text compresses with a dictionary of good texts than of bad ones.
 
-Two zstandard dictionaries are built on the driver from a bounded sample of labelled texts (`SAMPLE`).
-A text is compressed in blocks, so a dictionary matters all along, once with each; the difference of
-the compressed sizes, divided by their sum, and the sizes against the plain length become a score by
-a logistic curve, fitted on rows that the dictionaries have not seen.
+Two zstandard dictionaries are trained on pieces from hashed places all over the texts of a bounded sample
+of labelled rows (`SAMPLE`), a few pieces of each text. A text is compressed in blocks, so a dictionary
+matters all along, once with each; the difference of the compressed sizes, divided by their sum, and the
+sizes against the plain length become a score by a logistic curve, fitted on rows that the dictionaries
+have not seen, whose whole texts are measured in the tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import fold, least_hashes, map_batches, needed
+from binomia.llm.common import fold, least_hashes, map_batches, mixed, needed
 
-#: Labelled rows of each quality to learn from, and bytes of each that are read in training.
-SAMPLE, SAMPLE_CHARS = 1200, 6000
+#: Labelled rows of each quality to learn from; half of them make the dictionaries, half fit the curve.
+SAMPLE = 1200
+#: Pieces that a text gives to its dictionary, and their bytes. They lie anywhere in the text.
+PIECES, PIECE_BYTES = 8, 512
 DICTIONARY_BYTES, BLOCK, LEVEL = 96 << 10, 4096, 3
 
 
@@ -40,7 +43,7 @@ class Measure:
         options = {"level": LEVEL, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
         if len(content) < 8:
             return zstandard.ZstdCompressor(**options).compress
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
         data.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=data, **options).compress
 
@@ -57,20 +60,30 @@ class Measure:
         return np.array([lasting * (bad - good) / (good + bad), lasting * (good / len(data) - 0.35), lasting * (bad / len(data) - 0.35), 1.0])
 
 
-def fit_quality(rows: list[tuple[int, str]], dictionary_bytes: int = DICTIONARY_BYTES) -> QualityModel:
-    """Dictionaries from the even rows of each label, the curve from the odd ones. A lone label scores 0.5."""
-    by = {q: [t for label, t in rows if label == q] for q in (0, 1)}
-    if not by[0] or not by[1]:
-        return QualityModel(b"", b"", np.zeros(4))
+def pieces(text: str, seed: int) -> list[bytes]:
+    """The pieces of a text with the least hashes of their numbers; short texts are given whole."""
+    data = text.encode()
+    n = -(-len(data) // PIECE_BYTES)
+    chosen = np.arange(n)
+    if n > PIECES:
+        chosen = np.sort(np.argsort(mixed(np.arange(1, n + 1, dtype=np.uint64) ^ np.uint64(seed % 2**64)))[:PIECES])
+    return [data[k * PIECE_BYTES : (k + 1) * PIECE_BYTES] for k in chosen.tolist()]
+
 
-    def content(texts: list[str]) -> bytes:
-        each = max(256, 3 * dictionary_bytes // max(len(texts[::2]), 1))
-        return b"\n".join(t.encode()[:each] for t in texts[::2])[-dictionary_bytes:]
+def dictionary(samples: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES) -> bytes:
+    """A trained dictionary; where the samples are too few to train on, their own bytes, evenly from all."""
+    size = sum(map(len, samples))
+    if size >= 8 * dictionary_bytes:
+        try:
+            return zstandard.train_dictionary(dictionary_bytes, samples, k=256, d=8, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass  # samples that are all alike
+    share = max(dictionary_bytes // max(len(samples), 1), 1)
+    return b"\n".join(x[:share] for x in samples) if size > dictionary_bytes else b"\n".join(samples)
 
-    good, bad = content(by[1]), content(by[0])
-    measure = Measure(good, bad)
-    seen = [(q, t) for q in (0, 1) for t in (by[q][1::2] or by[q])]
-    x, y = np.stack([measure.of(t) for _, t in seen]), np.array([q for q, _ in seen], float)
+
+def fit_curve(good: bytes, bad: bytes, y: np.ndarray, x: np.ndarray) -> QualityModel:
+    """The logistic curve of measures x of rows with labels y."""
     scale = np.concatenate([x[:, :-1].std(0) + 1e-9, [1.0]])
     z, w = x / scale, np.zeros(x.shape[1])
     for _ in range(50):  # Newton's method with a small ridge
@@ -83,27 +96,52 @@ def fit_quality(rows: list[tuple[int, str]], dictionary_bytes: int = DICTIONARY_
     return QualityModel(good, bad, w / scale)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> QualityModel:
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Fit on at most `sample` labelled rows of each quality outside the held-out fold; other columns play no part.
 
-    Rows are taken by a hash of their id. The share of good rows among all those learnable is counted
-    and put into the curve's constant, as the sample holds both labels alike.
+    Rows are taken by a hash of their id, every second one for the dictionaries. A document whose labels
+    contradict each other is not learned from; of texts with one id that with the least hash counts. The
+    share of good rows among all those learnable is counted and put into the curve's constant, as the
+    sample holds both labels alike. Without texts of both labels every score is 0.5.
     """
-    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2))
-    known = known.dropDuplicates(["doc_id"])
+    marked = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2))
+    known = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    known = known.filter("quality = most").select("doc_id", "quality")
     share = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    chosen = None
+    place, chosen = F.xxhash64("doc_id"), None
     for quality in (0, 1):
-        place = F.xxhash64("doc_id")
         some = least_hashes(known.filter(F.col("quality") == quality), place, sample).orderBy(place, "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionAll(some)
-    texts = needed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, sample_chars).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("quality", "doc_id", "text").limit(4 * sample).collect()
-    rows = [(r["quality"], r["text"]) for r in sorted(found, key=lambda r: (r["quality"], r["doc_id"], r["text"]))]
-    model = fit_quality(rows)
-    if np.any(model.weights) and share.get(0) and share.get(1):
-        n = [sum(1 for q, _ in rows if q == k) for k in (0, 1)]
-        model.weights[-1] += np.log(share[1] / share[0]) - np.log(n[1] / n[0])
+    # at most 2 * sample rows; the lowest bit of the hash deals them to dictionaries and curve
+    chosen = chosen.withColumn("fits", place.bitwiseAND(1) == 1)
+    texts = needed(docs, "doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+
+    def cut(batch):
+        found = [pieces(v.as_py(), m) for v, m in zip(batch.column("text"), batch.column("mark").to_pylist(), strict=True)]
+        yield {**{c: batch.column(c) for c in ("quality", "doc_id", "mark")}, "pieces": found}
+
+    def one_each(rows: DataFrame, value: str):
+        best = rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", value), "mark").alias("row")).select("doc_id", "row.*")
+        return sorted(best.collect(), key=lambda r: (r["quality"], r["doc_id"]))
+
+    parts = map_batches(texts.filter("not fits"), cut, "quality int, doc_id long, mark long, pieces array<binary>")
+    both: tuple[list[bytes], list[bytes]] = ([], [])
+    for row in one_each(parts, "pieces"):
+        both[row["quality"]].extend(bytes(p) for p in row["pieces"])
+    bad, good = map(dictionary, both)
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))  # two dictionaries of DICTIONARY_BYTES
+
+    def measured(batch, measure):
+        yield {**{c: batch.column(c) for c in ("quality", "doc_id", "mark")}, "x": [measure.of(v.as_py()) for v in batch.column("text")]}
+
+    x = map_batches(texts.filter("fits"), measured, "quality int, doc_id long, mark long, x array<double>", start=lambda: Measure(*shared.value))
+    rows = one_each(x, "x")
+    n = [sum(r["quality"] == q for r in rows) for q in (0, 1)]
+    if not min(n) or not both[0] or not both[1]:
+        return QualityModel(b"", b"", np.zeros(4))
+    model = fit_curve(good, bad, np.array([r["quality"] for r in rows], float), np.array([r["x"] for r in rows]))
+    model.weights[-1] += np.log(share[1] / share[0]) - np.log(n[1] / n[0])
     return model
 
 
