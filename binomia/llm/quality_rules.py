@@ -3,8 +3,9 @@
 Every line gets a feature vector of shares of byte classes, of repeated words and of its form. Viterbi
 decoding of the chain over a document's lines marks each as content or boilerplate, and the share of
 content among the document's characters decides. The weights are fitted on the driver by gradient
-ascent on the conditional likelihood, on a bounded sample of labelled documents (`SAMPLE`): lines take
-their document's label, repeated ones count as boilerplate.
+ascent on the conditional likelihood, on a bounded sample of labelled documents (`SAMPLE`) of any length:
+lines take their document's label, repeated ones count as boilerplate. The tasks read the whole texts; the
+driver gets feature vectors of runs of lines from all over a document.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import SEPARATORS, fold, least_hashes, map_batches, needed, shingles, word_hashes
+from binomia.llm.common import SEPARATORS, fold, least_hashes, map_batches, mixed, needed, shingles, word_hashes
 
-#: Labelled documents of each label that the weights are fitted on, and the longest of them in bytes.
-SAMPLE, SAMPLE_BYTES = 400, 20_000
-#: Longer chains are fitted in runs of so many lines; decoding takes whole documents.
-CHAIN_LINES = 64
+#: Labelled documents of each label that the weights are fitted on.
+SAMPLE = 400
+#: Chains are fitted in runs of so many lines, and so many runs of a document, which lie anywhere in it;
+#: decoding takes whole documents.
+CHAIN_LINES, RUNS = 64, 8
 #: Share of the characters on content lines that keeps a document.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -164,29 +166,42 @@ def fit_chain(documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80,
     return Chain(weights, moves)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
-    """Fit the chain on at most `sample` labelled documents of each quality, of at most sample_bytes bytes.
+def train_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+    """Fit the chain on at most `sample` labelled documents of each quality, of any length.
 
-    Only rows outside the held-out fold are looked at. Ties of the sampling order are broken by id.
+    Only rows outside the held-out fold are looked at. A document whose labels contradict each other is
+    not learned from; of texts with one id that with the least hash counts. Ties of the sampling order are
+    broken by id. A document gives its runs of lines with the least hashes of their numbers, at most RUNS.
     Without any labelled text every line counts as content.
     """
-    chosen = None
+    marked = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 2))
+    known = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    known = known.filter("quality = most").select("doc_id", "quality")
+    place, chosen = F.xxhash64("doc_id"), None
     for quality in (0, 1):
-        marked = (
-            labels.select("doc_id", "quality")
-            .filter((F.col("quality") == quality) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
-            .dropDuplicates(["doc_id"])
-        )
-        place = F.xxhash64("doc_id")
-        some = least_hashes(marked, place, sample).orderBy(place, "doc_id").limit(sample)
+        some = least_hashes(known.filter(F.col("quality") == quality), place, sample).orderBy(place, "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionAll(some)
-    texts = needed(docs, "doc_id", "text").filter(F.octet_length("text") <= sample_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").limit(4 * sample).collect()
-    reader, documents = Reader(), []
-    for quality, text in sorted(rows):
-        _, features, _ = reader.read(text)
-        marks = np.where(features[:, 8] > 0, 0, quality).astype(np.int64)
-        documents += [(features[at : at + CHAIN_LINES], marks[at : at + CHAIN_LINES]) for at in range(0, len(marks), CHAIN_LINES)]
+    texts = needed(docs, "doc_id", "text").filter(F.col("text").isNotNull())
+    texts = texts.join(F.broadcast(chosen), "doc_id").withColumn("mark", F.xxhash64("text"))  # at most 2 * sample rows
+
+    def read(batch, reader):
+        runs = []
+        for text, mark in zip(batch.column("text"), batch.column("mark").to_pylist(), strict=True):
+            _, features, _ = reader.read(text.as_py())
+            starts = np.arange(0, len(features), CHAIN_LINES)
+            if len(starts) > RUNS:
+                order = np.argsort(mixed(np.arange(1, len(starts) + 1, dtype=np.uint64) ^ np.uint64(mark % 2**64)))
+                starts = np.sort(starts[order[:RUNS]])
+            runs.append([features[at : at + CHAIN_LINES].tobytes() for at in starts.tolist()])
+        yield {**{c: batch.column(c) for c in ("quality", "doc_id", "mark")}, "runs": runs}
+
+    found = map_batches(texts, read, "quality int, doc_id long, mark long, runs array<binary>", start=Reader)
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "runs"), "mark").alias("row")).select("doc_id", "row.*").collect()
+    documents = []
+    for row in sorted(rows, key=lambda r: (r["quality"], r["doc_id"])):
+        for run in row["runs"]:
+            features = np.frombuffer(bytes(run)).reshape(-1, FEATURES)
+            documents.append((features, np.where(features[:, 8] > 0, 0, row["quality"]).astype(np.int64)))
     return fit_chain(documents)
 
 
