@@ -12,10 +12,10 @@ from tokenizers import Tokenizer
 
 from binomia.llm.common import least_hashes
 from binomia.llm.html_text import html_text, rendered
-from binomia.llm.language_id import fit_language, language_id, train_language
+from binomia.llm.language_id import fit_language, language_id, shares, train_language
 from binomia.llm.packing import best_fit_packing, crossover, best_fit, evolve, numbered
 from binomia.llm.pii import KINDS, Finder, base_patterns, masked, personal_data
-from binomia.llm.quality_classifier import fit_quality, quality_scores, train_quality
+from binomia.llm.quality_classifier import PIECE_BYTES, PIECES, pieces, quality_scores, train_quality
 from binomia.llm.quality_rules import Chain, FEATURES, quality_rules, train_chain
 from binomia.llm.token_counts import token_counts
 
@@ -167,6 +167,37 @@ def test_models_tell_held_out_rows_apart(spark, documents, nothing):
     assert language_id(nothing, fit_language([])).count() == 0
 
 
+def test_rare_languages_and_late_passages_are_learned(spark):
+    rng = np.random.default_rng(3)
+    words = {"aa": ["the", "of", "river", "walks"], "bb": ["der", "und", "fluss", "geht"], "cc": ["xaq", "yoq", "zuq", "weq"]}
+    lead = "1 2 3 4 " * 400  # what tells them apart stands behind 3200 characters
+    rows = [(k, lead + " ".join(rng.choice(words["aa" if k % 2 else "bb"], 800)), "aa" if k % 2 else "bb") for k in range(2000)]
+    rows += [(k, lead + " ".join(rng.choice(words["cc"], 800)), "cc") for k in range(9000, 9012)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language(docs, sample=600)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {r.doc_id: r.lang_pred for r in language_id(docs.filter("doc_id < 100 or doc_id >= 9000"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows if k in got) >= 0.97 * len(got)
+    assert shares({"x": 5, "y": 1000, "z": 2000}, 105) == {"x": 5, "y": 50, "z": 50}
+
+
+def test_training_reads_all_of_a_text(spark):
+    text = "".join(f"{k:04d}" for k in range(4096))
+    cut = pieces(text, 7)
+    assert len(cut) == PIECES and all(len(p) == PIECE_BYTES and p.decode() in text for p in cut)
+    places = {text.index(p.decode()) // PIECE_BYTES for s in range(200) for p in pieces(text, s)}
+    assert places == set(range(len(text) // PIECE_BYTES)) and pieces("", 1) == []
+    docs, labels = _labelled(spark)
+    # texts beyond any cut, labels that contradict each other, repeated rows
+    long = docs.withColumn("text", F.expr("concat(repeat('0 1 2 3 4 5 6 7 8 9\n', 2000), text)"))
+    odd = labels.unionAll(labels).unionAll(spark.createDataFrame([(k, 1, 0) for k in range(80, 84)], labels.schema))
+    scores = {r.doc_id: r for r in quality_scores(docs, train_quality(long.unionAll(long), odd)).collect()}
+    held = [k for k in range(160) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert np.mean([scores[k].score for k in held if k < 80]) > np.mean([scores[k].score for k in held if k >= 80])
+    chain = train_chain(long.unionAll(long), odd)
+    assert np.ptp(chain.weights, axis=1).max() > 0.1  # lines of the long texts were learned from
+
+
 def test_html(spark):
     page = """<title>t</title><style>.x{display:none}</style><h1>A  b</h1>in<p>one<p>two<br>three<ul><li>a<ol><li>x<li>y</ol><li>c</ul>
     <div class=x>no</div><i hidden>no</i><script>var t="</p>no"</script><table><tr><th>Name<th>N<tr><td>alpha<td>1</table>&amp;"""
