@@ -22,6 +22,8 @@ from binomia.llm.common import fold, map_batches, needed, word_hashes
 
 #: Labelled rows that are learned from; their texts are read whole.
 SAMPLE = 4000
+#: Langs whose limits may be broadcast; those of more are joined by a shuffle.
+BROADCAST_LANGS = 100_000
 BUCKETS, DIMENSIONS, SIZES = 1 << 15, 16, (1, 2, 3, 4)
 #: Share of the held-back rows whose score lies below the rejection threshold.
 REJECTED = 0.01
@@ -186,6 +188,8 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     limits = docs.sparkSession.createDataFrame(
         [(lang, wanted[lang], below[lang]) for lang in sorted(counts)], "lang string, wanted int, below long"
     )
+    if len(counts) <= BROADCAST_LANGS:
+        limits = F.broadcast(limits)  # so only the rows that are ranked move
     order = Window.partitionBy("lang").orderBy("place", "mark")
     some = (
         known.join(limits, "lang")
