@@ -26,6 +26,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 _DIGITS = frozenset("0123456789")
 _PHONE = frozenset(" ().0123456789-")
+_SMALL = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 #: The base kinds as patterns (fixed values), for checks.
 base_patterns = {
@@ -44,10 +45,24 @@ CUES = {
 _AFTER_ACCOUNT = regex.compile(r"(?:\s*(?:number|no\.?|nr\.?|#|is|:|=))*\s*([A-Z]{0,3}[0-9][0-9A-Z-]{4,24})\b")
 _AFTER_SECRET = regex.compile(r"\s*[:=]\s*[\"']?([^\s\"'<>]{6,})")
 _KEY = regex.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{30,}")
+#: Lengths of account numbers by country (fixed values of the public registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+    "XK": 20,
+}
+#: Account numbers of other countries, whose length is not known.
 _IBAN = regex.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _URL = regex.compile(r"[^\s<>\"']+")
-_STREET_NUMBER = regex.compile(r"[0-9]{1,5}[a-z]?\b")
-_NUMBER_BEFORE = regex.compile(r"\b[0-9]{1,5}[a-z]? (?:\p{Lu}[\p{L}'.-]*\s?){1,4}$")
+_STREET_NUMBER = regex.compile(r"\s{0,2}[0-9]{1,5}[a-z]?\b")
+#: Words a street's name may have between its number and the cue.
+_STREET_WORDS = 4
+_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 _KEY_STARTS = ("AKIA", "ASIA", "sk-", "ghp_")
 
 
@@ -57,11 +72,10 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(sign, (sign if sign in "@+" else "0", 1))
     found.add_word("://", ("://", 3))
     for start in _KEY_STARTS:
-        found.add_word(start, ("key", len(start)))
+        found.add_word(start.lower(), ("key", len(start)))
     for kind, words in CUES.items():
         for word in words:
-            for form in {word, word.title(), word.upper()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -90,7 +104,8 @@ class Finder:
         def add(kind: str, start: int, end: int) -> None:
             out.append((start, KINDS.index(kind), end))
 
-        for last, (kind, length) in self.anchors.iter(text):
+        # anchors are lower case; only A-Z change, so places stay
+        for last, (kind, length) in self.anchors.iter(text.lower() if text.isascii() else text.translate(_LOWER)):
             at = last - length + 1
             if kind == "0":
                 if at >= cards:
@@ -180,9 +195,22 @@ class Finder:
     def _iban_at(text: str, start: int, add) -> None:
         if start and text[start - 1].isalnum():
             return
-        m = _IBAN.match(text, start)
-        if m and _iban(m.group()):
-            add("iban", start, m.end())
+        length = IBAN_LENGTHS.get(text[start : start + 2])
+        if length is None:
+            m = _IBAN.match(text, start)
+            if m and _iban(m.group()):
+                add("iban", start, m.end())
+            return
+        end, plain, size = start, "", len(text)
+        while len(plain) < length:
+            step = 1 if end < size and text[end] == " " and plain and len(plain) % 4 == 0 else 0
+            sign = text[end + step : end + step + 1]
+            if not (sign.isascii() and (sign.isdigit() or sign.isupper())):
+                return
+            plain += sign
+            end += step + 1
+        if not text[end : end + 1].isalnum() and _iban(plain):
+            add("iban", start, end)
 
     @staticmethod
     def _url(text: str, at: int, add) -> None:
@@ -197,17 +225,36 @@ class Finder:
 
     @staticmethod
     def _street(text: str, at: int, end: int, add) -> None:
-        before = _NUMBER_BEFORE.search(text[max(0, at - 60) : at])
-        if before:
-            add("street", max(0, at - 60) + before.start(), end)
-            return
-        rest = text[end : end + 40]
-        after = _STREET_NUMBER.match(rest.lstrip())
-        if after and len(rest) - len(rest.lstrip()) <= 2:
+        start = Finder._number_before(text, at)
+        if start >= 0:
+            add("street", start, end)
+        elif after := _STREET_NUMBER.match(text, end):
             start = at
             while start > 0 and text[start - 1].isalpha():
                 start -= 1
-            add("street", start, end + len(rest) - len(rest.lstrip()) + after.end())
+            add("street", start, after.end())
+
+    @staticmethod
+    def _number_before(text: str, at: int) -> int:
+        """Start of a house number that capital words, as long as they may be, part from `at`; -1 without."""
+        start = at
+        for _ in range(_STREET_WORDS):
+            stop = start - 1 if start and text[start - 1].isspace() else start
+            start = stop
+            while start and (text[start - 1].isalpha() or text[start - 1] in "'.-"):
+                start -= 1
+            if start == stop or not text[start].isupper():
+                return -1
+            stop = start - 1
+            if stop > 0 and text[stop] == " ":
+                if text[stop - 1] in _SMALL:
+                    stop -= 1
+                number = stop
+                while number and text[number - 1] in _DIGITS:
+                    number -= 1
+                if 1 <= stop - number <= 5 and not (number and (text[number - 1].isalnum() or text[number - 1] == "_")):
+                    return number
+        return -1
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
