@@ -80,7 +80,7 @@ def compile_dump(
     spark: SparkSession, dump: str, output: str, roots=None, work_dir=None, as_json: bool = False
 ) -> dict:
     """Compile a taxonomy dump into a stored lookup; returns its statistics."""
-    folder = resolve_dump(dump, work_dir, spark)
+    folder = resolve_dump(spark, dump, work_dir)
     parts = [read_dump(spark, f"{folder}/{f}") for f in ("nodes.dmp", "names.dmp", "merged.dmp")]
     records, keys, scope = compile_taxonomy(*parts, roots)
     found = from_taxonomy(records, keys)

@@ -2,17 +2,21 @@
 
 import logging
 import tarfile
-from pathlib import Path
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import Lookup
+from ..session import shared_folder
 from .files import kind_of, row_place
 
 log = logging.getLogger(__name__)
 
 DUMP_FILES = ("nodes.dmp", "names.dmp", "merged.dmp")
+#: Bytes of the lines that a task unpacks at a time.
+_BATCH_BYTES = 4 << 20
 
 RECORD = (
     "struct<TaxId:string,ScientificName:string,ParentTaxId:string,Rank:string,"
@@ -44,32 +48,60 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return dump_fields(lines.withColumn("line_no", place))
 
 
-def resolve_dump(path, work_dir=None, spark: SparkSession | None = None):
-    """Folder with the dump files, unpacked first if ``path`` is a tar archive.
+def resolve_dump(spark: SparkSession, path, work_dir: str | None = None) -> str:
+    """Folder with the dump files, unpacked by Spark first if ``path`` is a tar archive.
 
-    A folder may lie on any file system that Spark reads; archives are local.
+    Both may lie on any file system that Spark reads. Archives are unpacked below ``work_dir``, or below
+    the folder that driver and executors share.
     """
-    if spark is not None and kind_of(spark, str(path)) == "folder":
-        return str(path)
-    found = Path(path)
-    if found.is_dir():
-        return found
-    if found.is_file() and found.name.endswith((".tar.gz", ".tgz")):
-        return _unpack(found, Path(work_dir or ".dump_work"))
+    path = str(path)
+    kind = kind_of(spark, path)
+    if kind == "folder":
+        return path
+    if kind == "file" and path.endswith((".tar.gz", ".tgz", ".tar")):
+        return _unpack(spark, path, f"{work_dir or shared_folder(spark)}/dump-{uuid.uuid4().hex}")
     raise FileNotFoundError(f"no dump folder or archive: {path}")
 
 
-def _unpack(archive: Path, work: Path) -> Path:
-    target = work / "extracted"
-    target.mkdir(parents=True, exist_ok=True)
-    with tarfile.open(archive, "r:gz") as tar:
-        for member in tar:
-            name = Path(member.name).name
-            source = tar.extractfile(member) if name in DUMP_FILES and member.isfile() else None
-            if source is not None:
-                with source, open(target / name, "wb") as out:
-                    while chunk := source.read(1 << 20):
-                        out.write(chunk)
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``member, copy, line_no, value``: the lines of the dump files of an archive, a batch at a time.
+
+    A compressed stream has one reader, so a task unpacks an archive; it holds the compressed bytes (2 GB
+    at most, as Spark's cells) and one batch of lines. ``copy`` tells members of one name apart.
+    """
+    schema = "member string, copy int, line_no long, value string"
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                with tarfile.open(fileobj=pa.BufferReader(content.as_buffer()), mode="r|*") as tar:
+                    for copy, member in enumerate(tar):
+                        name = member.name.rsplit("/", 1)[-1]
+                        if name not in DUMP_FILES or not member.isfile():
+                            continue
+                        source, at = tar.extractfile(member), 0
+                        while lines := source.readlines(_BATCH_BYTES):
+                            n = len(lines)
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array([name] * n), pa.array([copy] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()),
+                                    pa.array([x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines]),
+                                ],
+                                names=["member", "copy", "line_no", "value"],
+                            )
+                            at += n
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def _unpack(spark: SparkSession, path: str, target: str) -> str:
+    """Write each dump file of an archive as a folder of ordered parts; of several with one name the last."""
+    archive_lines(spark, path).write.parquet(f"{target}/lines")
+    lines = spark.read.parquet(f"{target}/lines")
+    for row in lines.groupBy("member").agg(F.max("copy").alias("copy")).collect():  # at most one row a dump file
+        own = lines.filter((F.col("member") == row["member"]) & (F.col("copy") == row["copy"])).select("line_no", "value")
+        parts = own.repartitionByRange("line_no").sortWithinPartitions("line_no").select("value")
+        parts.write.text(f"{target}/{row['member']}")
     return target
 
 

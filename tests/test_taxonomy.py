@@ -130,13 +130,36 @@ def test_lookup_spellings(spark):
 
 
 def test_archive_and_missing(spark, dump_folder, tmp_path):
+    names = "".join(f"{k}\t|\tname {k} \u00e9\t|\t\t|\tscientific name\t|\n" for k in range(120_000))
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "names.dmp").write_text(names)
+    (tmp_path / "big" / "nodes.dmp").write_text("")
     archive = tmp_path / "dump.tar.gz"
     with tarfile.open(archive, "w:gz") as tar:
         tar.add(dump_folder, arcname="deep/path")
-    folder = dump.resolve_dump(archive, tmp_path / "work")
-    assert {p.name for p in folder.iterdir()} == set(dump.DUMP_FILES)
+    small = dump.resolve_dump(spark, f"file://{archive}", f"file://{tmp_path}/work")
+    for name in dump.DUMP_FILES:
+        rows, plain = (dump.read_dump(spark, f"{f}/{name}").orderBy("line_no") for f in (small, dump_folder))
+        assert [r.fields for r in rows.collect()] == [r.fields for r in plain.collect()]
+    with tarfile.open(archive, "w:gz") as tar:
+        tar.add(dump_folder, arcname="first")  # the later member of a name counts
+        tar.add(tmp_path / "big", arcname="later")
+    folder = dump.resolve_dump(spark, archive)
+    rows = dump.read_dump(spark, f"{folder}/names.dmp").orderBy("line_no").collect()
+    assert [r.fields[1] for r in rows] == [f"name {k} \u00e9" for k in range(120_000)]
     with pytest.raises(FileNotFoundError):
-        dump.resolve_dump(tmp_path / "none")
+        dump.resolve_dump(spark, tmp_path / "none")
+
+
+def test_compile_from_archive(spark, dump_folder, tmp_path):
+    archive = tmp_path / "dump.tgz"
+    with tarfile.open(archive, "w:gz") as tar:
+        tar.add(dump_folder, arcname="x")
+    packed = compile_dump(spark, f"file://{archive}", f"file://{tmp_path}/a", work_dir=f"file://{tmp_path}/work")
+    plain = compile_dump(spark, str(dump_folder), f"file://{tmp_path}/b")
+    for stats in (packed, plain):
+        del stats["output"], stats["bytes"]
+    assert packed == plain
 
 
 def test_compile_and_import(spark, dump_folder, tmp_path):
