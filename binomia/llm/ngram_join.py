@@ -154,6 +154,32 @@ def possible(a: str, b: str, similarity: float) -> Column:
     return _close(n, m, similarity) & (n - F.col(f"{a}.at") >= overlap) & (m - F.col(f"{b}.at") >= overlap)
 
 
+def open_rows(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, doc_id, n, at, part) that some row of another part may share enough with on their key.
+
+    No pairs are formed: the rows of a key are summed up by size class, of which those a set can link with
+    are at most one class away, and each row is held against these sums. A row without a possible
+    partner is never kept out wrongly, as the sums bound every partner in its class.
+    """
+    rows = rows.withColumn("step", F.floor(F.log(F.col("n")) / F.lit(-math.log(similarity) * (1 + 1e-6))))
+    slack = F.col("n") - F.col("at")
+    sums = rows.groupBy("key", "step").agg(
+        F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.max(slack).alias("max_slack"), F.min("part").alias("low"), F.max("part").alias("high")
+    )
+    # keys on which one part meets alone need no look
+    mixed_keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+    sums = sums.join(mixed_keys.hint("shuffle_hash"), "key", "left_semi").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    # the least size a partner of the class can have, and what both must share with it
+    m = F.greatest("min_n", _least(F.col("n"), similarity))
+    overlap = F.ceil(F.round(F.lit(similarity / (1 + similarity)) * (F.col("n") + m), 9))
+    fits = (
+        ((F.col("low") != F.col("part")) | (F.col("high") != F.col("part")))
+        & (_least(F.col("n"), similarity) <= F.col("max_n")) & (_least(F.col("min_n"), similarity) <= F.col("n"))
+        & (slack >= overlap) & (F.col("max_slack") >= overlap)
+    )
+    return rows.join(sums.hint("shuffle_hash"), ["key", "step"]).filter(fits).select("key", "doc_id", "n", "at", "part").distinct()
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id, n, n_low, tokens as in classes, with all shingles of the documents named in ids."""
     if ids.count() <= BROADCAST_ROWS:
@@ -223,13 +249,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     star = star.join(sizes, "head").filter(_close(F.col("n"), F.col("m"), similarity)).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     links = stash(verified(docs, star, words, similarity).select("a", "b"))
     joined = components(links)
-    # keys on which different components still meet; the sets that meet there are ordered anew by exact
+    # sets of different components that still meet at possible sizes and places are ordered anew by exact
     # frequencies of all their shingles, so what sets them apart comes first and few pairs are left
-    part = stash(met.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")))
-    mixed_keys = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    open_ids = stash(part.join(mixed_keys.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "part").distinct())
+    part = met.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("part"))
+    # rows that are out may have been what held others in
+    part = stash(open_rows(stash(open_rows(stash(part), similarity)), similarity))
+    open_ids = stash(part.select("doc_id", "part").distinct())
     again = stash(prefixes(full_sets(docs, open_ids.select("doc_id"), words), similarity))
     open_sets = stash(meetings(again, boundary(again, similarity), similarity).join(open_ids, "doc_id"))
+    open_sets = stash(open_rows(open_sets, similarity))
     a, b = open_sets.alias("a"), open_sets.alias("b")
     rest = (
         a.join(b, F.col("a.key") == F.col("b.key"))
