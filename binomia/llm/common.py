@@ -16,7 +16,7 @@ from binomia.session import shared_folder
 SEPARATORS = " \t\n\x0b\x0c\r"
 _SEPARATOR_BYTES = [c.encode() for c in SEPARATORS]
 #: Bytes of a text whose words are hashed at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _IS_WORD = np.ones(256, np.int8)
 _IS_WORD[[ord(c) for c in SEPARATORS]] = 0
 _BYTE_VALUES = np.random.default_rng(2024).integers(1, 2**64, 256, dtype=np.uint64)
@@ -75,6 +75,8 @@ def map_batches(
             for at in range(0, batch.num_rows, rows):
                 for out in function(batch.slice(at, rows), *state):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        # the worker goes on to other tasks; what its batches took goes back to the machine
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -200,5 +202,6 @@ def filter_batches(df: DataFrame, keeps: Callable, start: Callable, rows: int =
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 yield part.filter(pa.array(keeps(part.column("text").to_pylist(), state), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
