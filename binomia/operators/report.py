@@ -1,6 +1,6 @@
 """Status, report items and the aggregates shown in reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -53,15 +53,19 @@ def report_candidates(text, mat, suggested, j_score) -> Column:
     )
 
 
+def _winners(final: DataFrame) -> DataFrame:
+    """``pos, tie_id, winner, own``: the model a row stands for and its score."""
+    winner = first_filled(_column(final, "suggested_gem"), _column(final, "mat"))
+    own = F.when(F.coalesce("j_score", F.lit(0.0)) == 0, F.lit(0.5)).otherwise(F.col("j_score"))
+    return final.select("pos", "tie_id", winner.alias("winner"), round_exact(own, 2).alias("own"))
+
+
 def candidate_rows(final: DataFrame, ties: DataFrame) -> DataFrame:
     """Report candidates as rows: ``pos, place, model_id, score, reason``.
 
     Tie sets are joined, not copied into the rows; only the winner's score differs from 0.5.
     """
-    winner = first_filled(_column(final, "suggested_gem"), _column(final, "mat"))
-    own = F.when(F.coalesce("j_score", F.lit(0.0)) == 0, F.lit(0.5)).otherwise(F.col("j_score"))
-    rows = final.select("pos", "tie_id", winner.alias("winner"), round_exact(own, 2).alias("own"))
-    return rows.join(ties, "tie_id").select(
+    return _winners(final).join(ties, "tie_id").select(
         "pos",
         "place",
         F.col("model").alias("model_id"),
@@ -70,10 +74,48 @@ def candidate_rows(final: DataFrame, ties: DataFrame) -> DataFrame:
     )
 
 
+def candidate_totals(final: DataFrame, ties: DataFrame) -> DataFrame:
+    """:func:`candidate_rows` summed up: ``pos, score, n, first_model, places``.
+
+    Rows are as many as rows times members of their tie sets; none of them is formed. All but the
+    winner score 0.5, so a row takes the totals of its set less the share of the winner. A set's two
+    first models are kept: the second is the first of the others where the winner is the first.
+    """
+    members = ties.groupBy("tie_id", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places"))
+    named = members.where("model is not null").select("tie_id", "model")
+    order = Window.partitionBy("tie_id").orderBy("model")
+    firsts = named.withColumn("nth", F.row_number().over(order)).where("nth <= 2").groupBy("tie_id").agg(
+        F.min("model").alias("first"), F.max(F.when(F.col("nth") == 2, F.col("model"))).alias("second")
+    )
+    sets = members.groupBy("tie_id").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).join(firsts, "tie_id", "left")
+    own = members.select(
+        F.col("tie_id").alias("_set"), F.col("model").alias("_model"), F.col("n").alias("n_own"), F.col("places").alias("places_own")
+    )
+    rows = _winners(final).join(sets, "tie_id")
+    rows = rows.join(own, (F.col("tie_id") == F.col("_set")) & F.col("winner").eqNullSafe(F.col("_model")), "left")
+    there = F.col("n_own").isNotNull()
+    nothing = F.lit(0).cast("long")
+    others = F.struct(
+        F.lit(0.5).alias("score"),
+        (F.col("n") - F.coalesce("n_own", nothing)).alias("n"),
+        F.when(there & F.col("winner").eqNullSafe(F.col("first")), F.col("second")).otherwise(F.col("first")).alias("first_model"),
+        # places without a value are in no sum
+        F.when(there, F.coalesce("places", nothing) - F.coalesce("places_own", nothing)).otherwise(F.col("places")).alias("places"),
+    )
+    winner = F.struct(
+        F.col("own").alias("score"), F.coalesce("n_own", nothing).alias("n"),
+        F.when(there, F.col("winner")).alias("first_model"), F.col("places_own").alias("places"),
+    )
+    return rows.select("pos", F.inline(F.array(winner, others))).where("n > 0").groupBy("pos", "score").agg(
+        F.sum("n").alias("n"), F.min("first_model").alias("first_model"), F.sum("places").alias("places")
+    )
+
+
 def report_items(final: DataFrame) -> DataFrame:
     """One report item per row of the final mapping; ordering columns are kept.
 
-    Candidates are listed where the rows carry them as text; else see :func:`candidate_rows`.
+    Candidates are listed where the rows carry them as text; else see :func:`candidate_rows` and
+    :func:`candidate_totals`.
     """
     j = F.coalesce(_column(final, "j_score", "double"), F.lit(0.0))
     mat, gem = _column(final, "mat"), _column(final, "suggested_gem")

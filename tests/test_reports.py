@@ -133,3 +133,25 @@ def test_input_types(spark):
 
 def test_states_are_fixed():
     assert [s for _, s in V.STATES][0] == "unambiguous" and len(V.STATES) == 5
+
+
+def test_candidate_totals_equal_the_rows_without_forming_them(spark):
+    final = spark.createDataFrame(
+        [(1, "s", "a", 0.9), (2, "s", "b", 0.5), (3, "s", "zz", 0.8), (4, "t", "a", 0.7), (5, "s", None, None), (6, "u", "a", 0.4), (7, "none", "a", 0.4)],
+        "pos long, tie_id string, mat string, j_score double",
+    )
+    ties = spark.createDataFrame(
+        [("s", 0, "b"), ("s", 1, "a"), ("s", 2, "a"), ("s", 3, "c"), ("t", 1, "a"), ("u", 7, "b")],
+        "tie_id string, place long, model string",
+    )
+    totals = report.candidate_totals(final, ties)
+    rows = report.candidate_rows(final, ties).groupBy("pos", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.min("model_id").alias("first_model"), F.sum("place").alias("places")
+    )
+    assert totals.columns == rows.columns
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, rows.collect()))
+    # 20 000 rows with 20 000 members each would be 400 million pairs
+    many = spark.range(20_000).selectExpr("id as pos", "'s' as tie_id", "concat('m', id) as mat", "0.9d as j_score")
+    members = spark.range(20_000).selectExpr("'s' as tie_id", "id as place", "concat('m', id) as model")
+    summed = report.candidate_totals(many, members).where("score = 0.5")
+    assert summed.agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first() == (20_000, 19_999, 19_999)
