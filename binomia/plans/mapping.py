@@ -87,12 +87,12 @@ def matched_ties(inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PRE
 
 
 def matched_rows(
-    inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PREFIXES, text=True
+    inputs: DataFrame, models: DataFrame, prefixes=V.COLLECTION_PREFIXES, text=True, form=None
 ) -> DataFrame:
-    """:func:`matched_ties` with the tie sets as text, or without them."""
+    """:func:`matched_ties` with the tie sets as text, in the ``form`` that is wanted, or without them."""
     kept, matches = matched_ties(inputs, models, prefixes)
     # candidate texts are long: add them to the surviving rows only
-    return (matches.with_candidates(kept) if text else kept).drop("tie_id")
+    return (matches.with_candidates(kept, form) if text else kept).drop("tie_id")
 
 
 def map_names(
