@@ -29,13 +29,10 @@ class Lookup:
 
 def from_taxonomy(records: DataFrame, keys: DataFrame) -> Lookup:
     """Lookup over compiled records; every key leads to one record."""
-    label = records.select("taxid", F.col("record.ScientificName").alias("scientific_name"))
     # looked up for names and for former ids
     return Lookup(
         cut_lineage(
-            keys.join(label, "taxid").select(
-                "key", F.lit(0).alias("ord"), F.col("taxid").alias("rec_id"), "scientific_name"
-            )
+            keys.select("key", F.lit(0).alias("ord"), F.col("taxid").alias("rec_id"), "scientific_name")
         ),
         records.select(F.col("taxid").alias("rec_id"), "record"),
     )

@@ -248,19 +248,19 @@ _PLACE_BITS = 58
 
 
 def id_places(ids: DataFrame) -> DataFrame:
-    """``taxid, as_text, as_number``: the place of each id in two orders, as ascending numbers.
+    """``ids`` with ``as_text, as_number``: the place of each id in two orders, as ascending numbers.
 
     The second order has whole numbers first, by value. Sorted tables are numbered by partition
     and row, so no task sees all ids.
     """
     number = F.when(F.col("taxid").rlike(r"(?U)^\d+$"), F.col("taxid").try_cast("decimal(38,0)"))
-    texts = ids.select("taxid").orderBy("taxid").select("taxid", F.monotonically_increasing_id().alias("as_text"))
+    texts = ids.orderBy("taxid").withColumn("as_text", F.monotonically_increasing_id())
     numbers = ids.select("taxid", number.alias("number")).orderBy(F.col("number").asc_nulls_last(), "taxid")
     return texts.join(numbers.select("taxid", F.monotonically_increasing_id().alias("as_number")), "taxid")
 
 
 def lookup_keys(records: DataFrame) -> DataFrame:
-    """``key, taxid`` with one id per key.
+    """``key, taxid, scientific_name`` with one id per key.
 
     Scientific names win over alternates, alternates over species keys. Among equals
     the greatest id as text wins for scientific names and merged ids, the smallest as
@@ -273,7 +273,8 @@ def lookup_keys(records: DataFrame) -> DataFrame:
     r = F.col("record")
     name = r["ScientificName"]
     tax = lambda text: F.concat(F.lit("TAX::"), text)
-    places = cut_lineage(id_places(records))
+    # the sorts read their input twice each: give them a narrow one
+    places = cut_lineage(id_places(cut_lineage(records.select("taxid", name.alias("name")))))
     last = (1 << _PLACE_BITS) - 1
 
     def claim(key, priority, place):
@@ -286,7 +287,7 @@ def lookup_keys(records: DataFrame) -> DataFrame:
         F.filter(others, lambda n: n != "").alias("others"),
         species_key(name).alias("clean"),
         ids_key(r["MergedTaxIds"]).alias("ids"),
-    ).join(places, "taxid")
+    ).join(places.drop("name"), "taxid")
     differs = (F.col("clean") != F.col("name")) & (F.size(words(F.col("clean"))) >= 2)
     listed = F.concat(
         F.array(
@@ -305,12 +306,12 @@ def lookup_keys(records: DataFrame) -> DataFrame:
     ids = places.select(
         F.inline(
             F.array(
-                F.struct(F.lit(False).alias("numeric"), F.col("as_text").alias("place"), "taxid"),
-                F.struct(F.lit(True).alias("numeric"), F.col("as_number").alias("place"), "taxid"),
+                F.struct(F.lit(False).alias("numeric"), F.col("as_text").alias("place"), "taxid", "name"),
+                F.struct(F.lit(True).alias("numeric"), F.col("as_number").alias("place"), "taxid", "name"),
             )
         )
     )
-    return winners.join(ids, ["numeric", "place"]).select("key", "taxid")
+    return winners.join(ids, ["numeric", "place"]).select("key", "taxid", F.col("name").alias("scientific_name"))
 
 
 def ids_key(ids) -> Column:

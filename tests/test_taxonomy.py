@@ -190,3 +190,11 @@ def test_foreign_and_missing_lookups(spark, tmp_path):
     path.write_text("{broken")
     assert dump.import_lookup(spark, str(path)).keys.count() == 0
     assert dump.load_lookup(spark, str(tmp_path / "nothing")).keys.count() == 0
+
+
+def test_keys_carry_the_name_of_their_record(spark, dump_folder):
+    """So a lookup is made without a second join of all keys with the records."""
+    records, keys, _ = taxonomy.compile_taxonomy(*read(spark, dump_folder), ROOTS)
+    names = {r["taxid"]: r["name"] for r in records.select("taxid", "record.ScientificName").toDF("taxid", "name").collect()}
+    rows = keys.collect()
+    assert rows and all(names[r["taxid"]] == r["scientific_name"] for r in rows)
