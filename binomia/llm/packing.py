@@ -25,7 +25,9 @@ from binomia.llm.pretokens import pieces
 
 #: Pieces of a shard; islands of each and epochs between migrations; fill from which a bin is final.
 SHARD_PIECES, ISLANDS, EPOCHS, FINAL_FILL = 3000, 2, 2, 0.98
-POPULATION, CHILDREN = 3, 4
+#: Packings of an island, least number of children of an epoch, children in a row without a better packing
+#: after which it ends.
+POPULATION, CHILDREN, PATIENCE = 3, 4, 25
 SEPARATOR = 0
 #: Units, and pre-tokens, whose ids a Python worker remembers.
 REMEMBERED = 700_000
@@ -146,8 +148,11 @@ def crossover(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capac
     return numbered(best_fit(lengths, order, capacity, list(bins.values())), len(lengths))
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, children: int = CHILDREN) -> list[np.ndarray]:
-    """One epoch of one island; the best packing comes first. Stops early when no bin can be saved."""
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, children: int = CHILDREN, patience: int = PATIENCE) -> list[np.ndarray]:
+    """One epoch of one island; the best packing comes first.
+
+    Goes on as long as children better the packing; stops early when no bin can be saved.
+    """
     rng = np.random.default_rng(seed)
     n, least = len(lengths), -(-int(lengths.sum()) // capacity)
     if not population:
@@ -157,11 +162,16 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, see
             population.append(numbered(best_fit(lengths, np.argsort(-noisy, kind="stable"), capacity), n))
     rank = lambda p: (int(p.max(initial=0)), -fitness(lengths, p, capacity))
     population = sorted(population, key=rank)[:POPULATION]
-    for _ in range(children):
+    made = idle = 0
+    while made < children or idle < patience:
         if len(population) < 2 or population[0].max(initial=0) + 1 <= least:
             break
         mother, father = rng.permutation(len(population))[:2]
+        bins, fill = rank(population[0])
         population = sorted([*population, crossover(lengths, population[mother], population[father], capacity, rng)], key=rank)[:POPULATION]
+        now = rank(population[0])
+        better = now[0] < bins or now[1] < fill - 1e-6
+        made, idle = made + 1, 0 if better else idle + 1
     return population
 
 

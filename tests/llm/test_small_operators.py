@@ -223,3 +223,11 @@ def test_least_hashes_keeps_the_least(spark):
     assert cut.count() < 2000
     want = [r["id"] for r in df.orderBy("place").limit(500).collect()]
     assert [r["id"] for r in cut.orderBy("place").limit(500).collect()] == want
+
+
+def test_an_island_goes_on_while_children_save_bins():
+    lengths = np.random.default_rng(3).integers(500, 900, 3000)
+    four = evolve(lengths, [], 2048, 5, children=4, patience=0)
+    found = evolve(lengths, [], 2048, 5)
+    assert found[0].max() < four[0].max()
+    assert np.bincount(found[0], lengths).max() <= 2048
