@@ -11,84 +11,42 @@ the others meet in fewer shards on the next level, until one shard is left.
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from binomia.llm.common import map_batches, needed, stash
-from binomia.llm.pretokens import pieces
+from binomia.llm.token_ids import ids_of_file, with_ends
 
 #: Pieces of a shard; islands of each and epochs between migrations; fill from which a bin is final.
 SHARD_PIECES, ISLANDS, EPOCHS, FINAL_FILL = 3000, 2, 2, 0.98
 #: Packings of an island, least number of children of an epoch, children in a row without a better packing
 #: after which it ends.
 POPULATION, CHILDREN, PATIENCE = 3, 4, 25
-SEPARATOR = 0
-#: Units, and pre-tokens, whose ids a Python worker remembers.
-REMEMBERED = 700_000
-
-
-class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
-
-    The ids of units, and of the pre-tokens within them, are remembered. Common words come early, so
-    where a memory is full the units that came last are forgotten.
-    """
-
-    def __init__(self, path: str):
-        self.pieces = pieces(path)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.added = {t: np.array([i], "<u4").tobytes() for t, i in self.pieces.added.items()}
-
-    def learn(self, units: list[str]) -> None:
-        split = self.pieces.find
-        parts = [[u] if u.isalpha() else split(u) for u in units]
-        missing = list({w for p in parts for w in p} - self.words.keys())
-        for word, ids in zip(missing, self.pieces.encode(missing), strict=True):
-            self.words[word] = array("I", ids).tobytes()
-        get = self.words.__getitem__
-        self.known.update(zip(units, (b"".join(map(get, p)) for p in parts), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        if len(self.words) > REMEMBERED:
-            self.words = dict(islice(self.words.items(), REMEMBERED // 2))
-        split = [[p if k % 2 else self.pieces.units(p) for k, p in enumerate(self.pieces.parts(t))] for t in texts]
-        self.learn(list(set().union(*(p for parts in split for p in parts if not isinstance(p, str))).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join([self.added[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts]) for parts in split]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each file and Python worker."""
-    return Encoder(path)
+#: Islands that a task evolves, one after the other.
+TASK_ISLANDS = 4
 
 
 def document_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row; a null text is empty and still ends in id 0."""
-    end = np.array([SEPARATOR], "<u4").tobytes()
 
     def cut(batch, ids_of):
         out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-        texts = [v.as_py() or "" for v in batch.column("text")]
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), ids_of.encode(texts), strict=True):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+        ids, sizes = with_ends(*ids_of.encode([v.as_py() or "" for v in batch.column("text")]))
+        data, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+        for doc_id, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
+            for piece, start in enumerate(range(0, size, capacity)):
+                length = min(capacity, size - start)
+                check = zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)])
+                for name, value in zip(out, (doc_id, piece, start, length, check), strict=True):
                     out[name].append(value)
+            at += size
         yield out
 
     return map_batches(
-        needed(docs, "doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long", rows=64, start=lambda: encoder(path)
+        needed(docs, "doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long", start=lambda: ids_of_file(path)
     )
 
 
@@ -181,7 +139,10 @@ def pack_level(pieces: DataFrame, shards: int, capacity: int, islands: int, epoc
     shard = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("row", "length"))).alias("items"))
     shard = stash(shard.select("shard", F.col("items.row").alias("rows"), F.col("items.length").alias("lengths")))
     state = shard.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    state = state.repartition("shard", "island").withColumn("packings", F.lit(None).cast("array<array<int>>"))
+    state = state.withColumn("packings", F.lit(None).cast("array<array<int>>"))
+    # rows are small and costly: their number says how many tasks there are, not their bytes
+    tasks = -(-shards * islands // TASK_ISLANDS)
+    task = ((F.col("shard") * islands + F.col("island")) % tasks).cast("int")
 
     def epoch(number):
         def run(batch):
@@ -195,7 +156,8 @@ def pack_level(pieces: DataFrame, shards: int, capacity: int, islands: int, epoc
 
     schema = "shard long, island int, lengths array<long>, packings array<array<int>>"
     for number in range(epochs):
-        state = map_batches(state.select("shard", "island", "lengths", "packings"), epoch(number), schema, rows=1)
+        dealt = state.select("shard", "island", "lengths", "packings").repartitionById(tasks, task)
+        state = map_batches(dealt, epoch(number), schema, rows=1)
         if number + 1 < epochs:
             state = stash(state)
             elites = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("packings")[0].alias("elite"))

@@ -19,6 +19,9 @@ LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}
 #: Beyond these characters classes, case and composed forms depend on the Unicode version: the library splits such texts.
 _OTHER = re.compile("[^\x00-ɏ]")
 _ODD = b"\x00\x1c\x1d\x1e\x1f\x85\xa0"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The character that stands for each byte in a byte-level file: itself, or one from U+0100 on.
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 0x100 + n for n, b in enumerate(sorted({*range(256)}.difference(_SHOWN)))}
 
 
 def plain(text: str) -> bool:
@@ -66,6 +69,11 @@ class Pieces:
     def encode(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        """The same of plain units: they are whole already, so the library's model is asked alone."""
+        ids_of = self.library.model.tokenize
+        return [[t.id for t in ids_of(u.encode().decode("latin-1").translate(_BYTE_CHARS))] for u in units]
+
 
 @lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -21,23 +20,16 @@ from pyspark.sql import functions as F
 
 from binomia.llm.common import map_batches, needed
 from binomia.llm.mixing_coder import BLOCK_IDS, GROUP_BLOCKS, Damaged, decode_group, encode_group
-from binomia.llm.token_ids import Ids
+from binomia.llm.token_ids import ids_of_file, with_ends
 from binomia.session import shared_folder
 
 #: Bytes of text that a file takes, counting some for every row, and rows tokenized at once.
 FILE_BYTES, ROW_BYTES, BATCH_ROWS = 64 << 20, 64, 256
-SEPARATOR = 0
 _MAGIC = b"MIXIDS01"
 _GROUP_IDS = BLOCK_IDS * GROUP_BLOCKS
 MANIFEST = "part int, file string, start long, n_docs long, n_ids long, n_bytes long"
 
 
-@lru_cache(maxsize=2)
-def _ids_of(path: str) -> Ids:
-    """One for each tokenizer file and Python worker."""
-    return Ids(path)
-
-
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a folder: a local path, or a URI that pyarrow knows (file, hdfs, s3, gs)."""
     return fs.FileSystem.from_uri(folder)
@@ -84,11 +76,6 @@ class _Writer:
         self.stream.write(index + np.array([at, len(self.doc_ids), zlib.crc32(index)], "<u8").tobytes() + _MAGIC)
 
 
-def with_ends(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's ids with the separator behind them."""
-    return np.insert(ids, np.cumsum(sizes), SEPARATOR).astype(np.uint32, copy=False), sizes + 1
-
-
 def read_file(source) -> Iterator[tuple[int | None, int, list[np.ndarray]]]:
     """(doc_id, number of ids, parts of the ids) of each document of an open file, in order.
 
@@ -139,7 +126,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, file_bytes: int =
         from pyspark import TaskContext
 
         system, root = _place(folder)
-        part, ids_of, writer = TaskContext.get().partitionId(), _ids_of(path), None
+        part, ids_of, writer = TaskContext.get().partitionId(), ids_of_file(path), None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 some = batch.slice(at, BATCH_ROWS)

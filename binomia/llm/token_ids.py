@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a byte-level tokenizer file, worked out on arrays.
+"""Token ids of whole texts by a public tokenizer file, worked out on arrays.
 
 The characters of many texts are cut into pre-tokens at once, from their classes. A pre-token is known
 by a 64-bit hash; its ids are asked of the library once for each Python worker, and the ids of texts
@@ -8,6 +8,7 @@ are gathered from those. Texts with characters beyond Latin letters go to the li
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -16,6 +17,8 @@ from binomia.llm.pretokens import pieces, plain
 
 #: Characters worked on at once, and pre-tokens whose ids are remembered.
 BLOCK_CHARS, REMEMBERED = 1 << 20, 1 << 20
+#: The id behind each document.
+SEPARATOR = 0
 _SLOT_BITS = 21
 _LETTER, _NUMBER, _SIGN, _SPACE, _EDGE = range(5)
 #: Plain texts have characters below this one; U+0000 stands between texts.
@@ -31,14 +34,20 @@ _CLASS = np.array([_EDGE] + [_class_of(chr(c)) for c in range(1, _CHARS)], np.ui
 _VALUES = np.random.default_rng(5150).integers(1, 2**64, _CHARS, dtype=np.uint64)
 
 
-def unit_starts(chars: np.ndarray) -> np.ndarray:
-    """Whether a pre-token starts at each character; three edge characters must end the array."""
+def unit_starts(chars: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Whether a pre-token, or a run of white space, starts at each character; three edge characters must end the array.
+
+    In the lower-case file a number is a pre-token by itself and none begins with a space.
+    """
     kind = _CLASS[chars]
     starts = np.ones(len(chars), bool)
     starts[1:] = kind[1:] != kind[:-1]
-    last_space = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] < _SPACE))
-    starts[last_space] = True
-    starts[last_space[chars[last_space] == ord(" ")] + 1] = False
+    if lower:
+        starts |= kind == _NUMBER
+    else:
+        last_space = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] < _SPACE))
+        starts[last_space] = True
+        starts[last_space[chars[last_space] == ord(" ")] + 1] = False
     quote = np.flatnonzero(chars[:-3] == ord("'"))
     quote = quote[starts[quote]]
     one, two = chars[quote + 1], chars[quote + 2]
@@ -56,8 +65,8 @@ class Ids:
 
     def __init__(self, path: str):
         self.pieces = pieces(path)
-        if self.pieces.lower:
-            raise ValueError(f"{path} is not a byte-level file")
+        # what stands between pre-tokens: edges, and white space in the lower-case file
+        self.between = _SPACE if self.pieces.lower else _EDGE
         self.forget()
 
     def forget(self) -> None:
@@ -75,7 +84,7 @@ class Ids:
         return out
 
     def learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        found = self.pieces.encode(units)
+        found = self.pieces.encode_units(units)
         at = len(self.first) + np.arange(len(units))
         size = np.array([len(f) for f in found], np.int64)
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
@@ -91,9 +100,9 @@ class Ids:
     def plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\0".join(texts) + "\0\0\0"
         chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-        starts = np.flatnonzero(unit_starts(chars))
+        starts = np.flatnonzero(unit_starts(chars, self.pieces.lower))
         ends = np.append(starts[1:], len(chars))
-        inside = chars[starts] != 0
+        inside = _CLASS[chars[starts]] < self.between
         starts, ends = starts[inside], ends[inside]
         powers, inverse = _powers(len(chars))
         with np.errstate(over="ignore"):
@@ -129,10 +138,18 @@ class Ids:
             for n, part in zip(batch, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                 made[n] = part
 
-        for n, (_, part, special) in enumerate(parts):
+        for n, (k, part, special) in enumerate(parts):
             if special:
                 made[n] = np.array([self.pieces.added[part]], np.uint32)
-            elif not plain(part):
+                continue
+            known = plain(part)
+            if known and self.pieces.lower:
+                # a few Latin letters have their lower form beyond the plain ones
+                low = part.lower()
+                known = plain(low)
+                if known:
+                    part, parts[n] = low, (k, low, special)
+            if not known:
                 made[n] = np.array(self.pieces.encode([part])[0], np.uint32)
             else:
                 if batch and size + len(part) > BLOCK_CHARS:
@@ -144,3 +161,14 @@ class Ids:
             flush()
         sizes = np.bincount([k for k, _, _ in parts], [len(m) for m in made], len(texts)).astype(np.int64)
         return np.concatenate([*made, np.zeros(0, np.uint32)]), sizes
+
+
+@lru_cache(maxsize=2)
+def ids_of_file(path: str) -> Ids:
+    """One for each tokenizer file and Python worker."""
+    return Ids(path)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's ids with the separator behind them."""
+    return np.insert(ids, np.cumsum(sizes), SEPARATOR).astype(np.uint32, copy=False), sizes + 1

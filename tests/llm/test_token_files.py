@@ -29,6 +29,26 @@ def test_ids_equal_the_library(library, text):
     assert ids.tolist() == [*expected, *library.encode("x").ids, *expected]
 
 
+def test_ids_of_the_lower_case_file_equal_the_library():
+    words = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(words)
+    texts = [
+        "", " \n", "Don't WE'LL 's'S 'st!'s ''re 'vex", "12ab\u06634\u00b2\u00bd", "\u0130stanbul \u023a\u023e", "a<|endoftext|>'S <|startoftext|>x", "\u65e5\u672c a", "x\xa0y\x1cz\0",
+        "".join(map(chr, range(1, 0x250))), "Word " * 5000,
+    ]
+    ids, sizes = Ids(words).encode(texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(e) for e in expected]
+    assert ids.tolist() == sum(expected, [])
+
+
+def test_plain_units_are_not_split_again(monkeypatch):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        ids_of = Ids(public_tokenizers.path(name))
+        monkeypatch.setattr(ids_of.pieces, "encode", None)
+        assert len(ids_of.encode(["Some w\u00f6rds, it's 12 of them"])[0])
+
+
 def test_forgotten_units_are_asked_again(library, monkeypatch):
     monkeypatch.setattr("binomia.llm.token_ids.REMEMBERED", 3)
     ids_of = Ids(PATH)
