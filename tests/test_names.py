@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,28 @@ def test_rounding_matches_python(evaluate):
     values = [0.155, 0.125, 2.675, 0.5, 1 / 3, 0.045, 12345.675, 0.0, 1.005]
     got = evaluate(values, lambda c: round_exact(c, 2), kind="double")
     assert one(got) == [round(v, 2) for v in values]
+
+
+def test_long_texts_are_read_for_their_first_words_only(spark):
+    """A bracket may close anywhere; without one the anchor must not cost a walk over the text."""
+    text = "Blautia hansenii strain number " + "some more words " * 20_000
+    table = spark.createDataFrame([(text, "[" + text)] * 8, "plain string, bracket string").coalesce(1).localCheckpoint()
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found = {r[0] for r in table.select(anchors.species_anchor(F.col(column))).collect()}
+            took.append(time.perf_counter() - began)
+        return min(took), found
+
+    short, found = seconds("plain")
+    assert found == {"Blautia hansenii"}
+    assert short < seconds("bracket")[0] / 2
+
+
+@pytest.mark.parametrize("text", ["", "  ", " a", "a b c d", "\ta  b\tc d e f ", "a b c d ", "\x1ca b"])
+def test_leading_words(evaluate, text):
+    from binomia.functions.expr import leading_words, words
+
+    assert evaluate([text], lambda s: leading_words(s, 4), lambda s: F.slice(words(s), 1, 4)) == [(text.split()[:4],) * 2]
